@@ -10,6 +10,7 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REGULATION, OVERTIME, FULL_GAME = 720.0, 300.0, 2880.0
 
@@ -191,7 +192,7 @@ def side_five(offense_team: Column, team: Column, offense_five: Column, defense_
     return F.when(offense_team == team, offense_five).otherwise(defense_five)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_accents(names: pd.Series) -> pd.Series:
     """PRJ22: lower case without accents (NFKD has no built-in form)."""
     return names.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower().strip())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tallyframe.plans import expressions, relational, statistics
+
 FLAGSHIP = "FLAGSHIP_game_states"
+QUERIES: dict = relational.QUERIES | expressions.QUERIES | statistics.QUERIES
+ORACLES: dict = relational.ORACLES | expressions.ORACLES | statistics.ORACLES
