@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,7 +66,8 @@ class LineRuns:
         return hashed.groupBy("h1", "h2").agg(F.min("at").alias("at")).select("h1", "h2", "at.*")
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Add a batch; returns its own run: the positions of its lines that no earlier batch has."""
+        """Add a batch; returns its own run, the positions of its lines that no earlier batch has (once
+        that was merged, all positions so far)."""
         new = self.first_lines(docs, id_col, text_col)
         for level in self.levels:
             for name, _ in level:
@@ -74,7 +76,7 @@ class LineRuns:
         self.levels = self.levels or [[]]
         self.levels[0].append(run)
         self._compact()
-        return self.spark.read.parquet(run[1]) if any(run in x for x in self.levels) else self.positions()
+        return self.spark.table(run[0]) if run in self.levels[0] else self.positions()
 
     def _compact(self) -> None:
         k = 0
@@ -96,8 +98,8 @@ class LineRuns:
 
     def positions(self) -> DataFrame:
         """The kept positions of all batches so far: nul, id, th, line."""
-        paths = [p for level in self.levels for _, p in level]
-        return self.spark.read.parquet(*paths).select("nul", "id", "th", "line")
+        parts = [self.spark.table(name).select("nul", "id", "th", "line") for level in self.levels for name, _ in level]
+        return reduce(DataFrame.unionByName, parts)
 
 
 def keep_lines(docs: DataFrame, positions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
