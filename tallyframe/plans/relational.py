@@ -79,7 +79,7 @@ def val_minutes(spark, d):
     return marts.val_minutes(S.box(spark, d), S.stints(spark, d), S.quarantine(spark, d))
 
 
-@query("JON06_AGG02_AGG03_val_possessions", "SELECT game_id, team_id, counted_possessions, round(estimated_possessions, 6) AS estimated_possessions, CAST(possession_points AS BIGINT) AS possession_points, final_score, points_reconciliation_ok FROM val_possessions", "val_possessions")
+@query("JON06_AGG02_AGG03_val_possessions", "SELECT game_id, team_id, counted_possessions, round(CAST(estimated_possessions AS DOUBLE), 6) AS estimated_possessions, CAST(possession_points AS BIGINT) AS possession_points, final_score, points_reconciliation_ok FROM val_possessions", "val_possessions")
 def val_possessions(spark, d):
     v = marts.val_possessions(S.games(spark, d), S.box(spark, d), S.poss(spark, d), S.quarantine(spark, d))
     return v.withColumn("estimated_possessions", F.round(F.col("estimated_possessions").cast("double"), 6))
@@ -239,11 +239,11 @@ def pre04(spark, d):
     return pregame.net_mode(S.poss(spark, d).groupBy("game_id").agg(F.count("*").alias("possessions")))
 
 
-@query("PRE05_ladder_frame", f"SELECT game_id, round(max(CASE WHEN is_home THEN blended_net END) - max(CASE WHEN NOT is_home THEN blended_net END), 5) AS blended_net_difference FROM ledger JOIN ({_SHRUNK}) USING (game_id, team_id) GROUP BY 1", "ledger")
+@query("PRE05_ladder_frame", f"SELECT game_id, round(max(CASE WHEN is_home THEN blended_net END) - max(CASE WHEN NOT is_home THEN blended_net END), 6) AS blended_net_difference FROM ledger JOIN ({_SHRUNK}) USING (game_id, team_id) GROUP BY 1", "ledger")
 def pre05(spark, d):
     f = asof.rest_days(asof.form_to_date(ledger(spark, d)))
     f = asof.shrunk_form(f.withColumn("prior_net", (F.col("team_id") % 7).cast("double")), "prior_net").withColumn("blended_net", F.round("blended_net", 6))
-    return pregame.ladder_frame(f).select("game_id", F.round("blended_net_difference", 5).alias("blended_net_difference"))
+    return pregame.ladder_frame(f).select("game_id", F.round("blended_net_difference", 6).alias("blended_net_difference"))
 
 
 @query("JON21_FLT10_FLT11_last_tick", "SELECT user_id AS market_id, tip, p AS price, t, n AS ticks, tip - t AS gap, coalesce(tip - t <= 3600, FALSE) AS fresh FROM (SELECT user_id, CAST(max(epoch(ts)) - 86400 * 3 AS BIGINT) // 1 AS tip FROM events GROUP BY 1) c LEFT JOIN (SELECT user_id, arg_max(value, (t, -event_id)) AS p, max(t) AS t, count(*) AS n FROM (SELECT e.user_id, value, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, tip FROM events e JOIN (SELECT user_id, CAST(floor(max(epoch(ts))) AS BIGINT) - 86400 * 3 AS tip FROM events GROUP BY 1) USING (user_id)) WHERE t <= tip GROUP BY 1) USING (user_id)")
@@ -494,11 +494,11 @@ def jon11(spark, d):
     return reporting.top(quarantine_bias(S.games0(spark, d), S.quarantine(spark, d)), "q_rate", 5, "team_id")
 
 
-@query("JON14_JON15_covered_games", "SELECT g.game_id, round((1 / o.h) / (1 / o.h + 1 / o.a), 9) AS market_home_prob FROM games0 g JOIN (SELECT DISTINCT game_date, home_team_id, away_team_id, 1.2 + home_team_id / 10.0 AS h, 1.3 + away_team_id / 9.0 AS a FROM games0 WHERE o_orderkey % 2 = 0) o USING (game_date, home_team_id, away_team_id)", "games0")
+@query("JON14_JON15_covered_games", "SELECT g.game_id, round((1 / o.h) / (1 / o.h + 1 / o.a), 10) AS market_home_prob FROM games0 g JOIN (SELECT DISTINCT game_date, home_team_id, away_team_id, CAST(1.2 AS DOUBLE) + home_team_id / CAST(10 AS DOUBLE) AS h, CAST(1.3 AS DOUBLE) + away_team_id / CAST(9 AS DOUBLE) AS a FROM games0 WHERE o_orderkey % 2 = 0) o USING (game_date, home_team_id, away_team_id)", "games0")
 def jon14(spark, d):
     g = S.games0(spark, d)
     o = g.where("o_orderkey % 2 = 0").select("game_date", "home_team_id", "away_team_id", F.expr("1.2D + home_team_id / 10.0D").alias("money_home_decimal_odds"), F.expr("1.3D + away_team_id / 9.0D").alias("money_away_decimal_odds")).distinct()
-    return pregame.covered_games(g, o).select("game_id", F.round("market_home_prob", 9).alias("market_home_prob"))
+    return pregame.covered_games(g, o).select("game_id", "market_home_prob")
 
 
 @query("JON16_lookup_or_fail", "SELECT game_id, season * 2 AS looked_up FROM games0", "games0")
@@ -631,10 +631,10 @@ def agg28(spark, d):
     return pregame.rosters(_players(spark, d))
 
 
-@query("AGG26_JON17_PRE07_availability_strength", "SELECT game_id, team_id, round(CASE WHEN sum(w) > 0 THEN sum(w * r) / sum(w) ELSE 0 END, 6) AS full_strength, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS missing FROM (SELECT b.game_id, b.team_id, b.person_id % 9 <> 4 AS ok, coalesce(net_rating, 0.0) AS r, coalesce(CAST(n_possessions AS DOUBLE), 0.0) AS w FROM box b JOIN games0 g USING (game_id) LEFT JOIN ratings r ON r.player_id = b.person_id AND r.season + 1 = g.season) GROUP BY 1, 2", "box", "ratings")
+@query("AGG26_JON17_PRE07_availability_strength", "SELECT game_id, team_id, round(CASE WHEN sum(w) > 0 THEN sum(w * r) / sum(w) ELSE 0 END, 8) AS full_strength, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS missing FROM (SELECT b.game_id, b.team_id, b.person_id % 9 <> 4 AS ok, coalesce(net_rating, 0.0) AS r, coalesce(CAST(n_possessions AS DOUBLE), 0.0) AS w FROM box b JOIN games0 g USING (game_id) LEFT JOIN ratings r ON r.player_id = b.person_id AND r.season + 1 = g.season) GROUP BY 1, 2", "box", "ratings")
 def pre07(spark, d):
     a = pregame.availability_strength(_players(spark, d), S.ratings(spark, d))
-    return a.select("game_id", "team_id", F.round("full_strength", 6).alias("full_strength"), "missing")
+    return a.select("game_id", "team_id", "full_strength", "missing")
 
 
 @query("AGG36_MKT03_MKT04_coverage", "SELECT status, count(*) AS games, count(*) FILTER (WHERE status <> 'x' AND mt < 5) AS thin FROM (SELECT CASE WHEN o_orderkey % 10 = 1 THEN 'event_not_found' WHEN o_orderkey % 10 = 2 THEN 'orientation_mismatch' WHEN o_orderkey % 10 = 3 THEN 'no_pretip_ticks' WHEN greatest(o_orderkey % 7, o_orderkey % 11) * 10000 > 86400 THEN 'stale_last_tick' ELSE 'covered' END AS status, least(o_orderkey % 13, o_orderkey % 17) AS mt FROM orders) GROUP BY 1")

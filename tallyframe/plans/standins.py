@@ -60,7 +60,7 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Player-season ratings."""
-    return _t(spark, sf_dir, "part").where("p_partkey < 4200").select(F.expr("cast(p_partkey % 600 + 1 as bigint)").alias("player_id"), F.expr("cast(2019 + p_partkey div 600 as int)").alias("season"), F.expr("cast(p_partkey * 37 % 1000 / 100.0 - 5.0 as double)").alias("off_rating"), F.expr("cast(p_size % 20 / 4.0 - 2.5 as double)").alias("def_rating"), F.expr("cast(p_partkey * 37 % 1000 / 100.0 - 5.0 as double) - cast(p_size % 20 / 4.0 - 2.5 as double)").alias("net_rating"), F.expr("cast(p_partkey % 211 * 10 as bigint)").alias("n_possessions"))
+    return _t(spark, sf_dir, "part").where("p_partkey < 4200").select(F.expr("cast(p_partkey % 600 + 1 as bigint)").alias("player_id"), F.expr("cast(2019 + p_partkey div 600 as int)").alias("season"), F.expr("cast(p_partkey * 37 % 1000 / 64.0D - 5.0D as double)").alias("off_rating"), F.expr("cast(p_size % 20 / 4.0D - 2.5D as double)").alias("def_rating"), F.expr("cast(p_partkey * 37 % 1000 / 64.0D - 5.0D as double) - cast(p_size % 20 / 4.0D - 2.5D as double)").alias("net_rating"), F.expr("cast(p_partkey % 211 * 10 as bigint)").alias("n_possessions"))
 
 
 def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ SQL: dict[str, tuple[str, tuple[str, ...]]] = {
         "SELECT g.game_id, season, home_team_id, away_team_id, game_date, CAST(coalesce(h.pts, 0) + CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END AS INTEGER) AS home_final_score, CAST(coalesce(a.pts, 0) AS INTEGER) AS away_final_score FROM games0 g LEFT JOIN pts h ON h.game_id = g.game_id AND h.t = g.home_team_id LEFT JOIN pts a ON a.game_id = g.game_id AND a.t = g.away_team_id",
         ("pts",),
     ),
-    "ratings": ("SELECT CAST(p_partkey % 600 + 1 AS BIGINT) AS player_id, CAST(2019 + p_partkey // 600 AS INTEGER) AS season, CAST(p_partkey * 37 % 1000 / 100.0 - 5.0 AS DOUBLE) AS off_rating, CAST(p_size % 20 / 4.0 - 2.5 AS DOUBLE) AS def_rating, CAST(p_partkey * 37 % 1000 / 100.0 - 5.0 AS DOUBLE) - CAST(p_size % 20 / 4.0 - 2.5 AS DOUBLE) AS net_rating, CAST(p_partkey % 211 * 10 AS BIGINT) AS n_possessions FROM part WHERE p_partkey < 4200", ()),
+    "ratings": ("SELECT CAST(p_partkey % 600 + 1 AS BIGINT) AS player_id, CAST(2019 + p_partkey // 600 AS INTEGER) AS season, CAST(p_partkey * 37 % 1000 / 64.0 - 5.0 AS DOUBLE) AS off_rating, CAST(p_size % 20 / 4.0 - 2.5 AS DOUBLE) AS def_rating, CAST(p_partkey * 37 % 1000 / 64.0 - 5.0 AS DOUBLE) - CAST(p_size % 20 / 4.0 - 2.5 AS DOUBLE) AS net_rating, CAST(p_partkey % 211 * 10 AS BIGINT) AS n_possessions FROM part WHERE p_partkey < 4200", ()),
     "stints": ("SELECT game_id, season, period, offense_team_id AS team_id, offense_five AS five, end_seconds - start_seconds + points AS seconds FROM poss UNION ALL SELECT game_id, season, period, defense_team_id, defense_five, end_seconds - start_seconds + points FROM poss", ("poss",)),
     "box": (
         "SELECT game_id, team_id, person_id, 'P' || person_id AS player_name, CAST(CASE WHEN person_id % 23 = 0 THEN 0 ELSE seconds + person_id % 7 * 12 END AS INTEGER) AS box_seconds, CAST(n * 3 AS INTEGER) AS fga, CAST(person_id % 5 AS INTEGER) AS fta, CAST(person_id % 3 AS INTEGER) AS oreb, CAST(person_id % 4 AS INTEGER) AS tov FROM (SELECT game_id, team_id, person_id, sum(seconds) AS seconds, count(*) AS n FROM (SELECT game_id, team_id, unnest(five) AS person_id, seconds FROM stints) GROUP BY ALL)",
@@ -178,4 +178,7 @@ def sql(query: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS ({SQL[n][0]})" for n in order) + "\n" + query if order else query
+    if not order:
+        return query
+    head = "WITH " + ",\n".join(f"{n} AS ({SQL[n][0]})" for n in order)
+    return head + (",\n" + query[5:] if query.startswith("WITH ") else "\n" + query)
