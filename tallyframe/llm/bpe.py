@@ -25,10 +25,10 @@ import base64
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEPARATOR = "\ue000"
 #: Distinct pre-tokens a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Texts that a worker holds as Python objects at a time.
+ROWS = 256
 
 
 def byte_characters() -> list[str]:
@@ -99,7 +101,7 @@ class ByteBPE:
         self.tokens, self.unknown = tokens, len(tokens)
         self.split = regex.compile(pattern).findall
         self.table = dict(enumerate(byte_characters())) | {0xFF: SEPARATOR}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # int32 ids
 
     def _merge(self, pieces: list[str]) -> None:
         """Encode pre-tokens not met before, all in one call, and remember their ids."""
@@ -109,9 +111,9 @@ class ByteBPE:
         at, unknown, known = 0, self.unknown, self.known
         for p in pieces[:-1]:
             end = ids.index(unknown, at)
-            known[p] = ids[at:end]
+            known[p] = np.array(ids[at:end], dtype=np.int32).tobytes()
             at = end + 1
-        known[pieces[-1]] = ids[at:]
+        known[pieces[-1]] = np.array(ids[at:], dtype=np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
@@ -123,7 +125,7 @@ class ByteBPE:
                 known.clear()
                 new = set(pieces)
             self._merge(list(new))
-        return np.fromiter(chain.from_iterable([known[p] for p in pieces]), dtype=np.int32)
+        return np.frombuffer(b"".join([known[p] for p in pieces]), dtype=np.int32)
 
     def decode(self, ids) -> str | None:
         """The text of ids; None if one is outside the vocabulary."""
@@ -175,8 +177,22 @@ def decode(df: DataFrame, vocabulary: Vocabulary, *, ids_col: str = "ids", out:
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_tokens, ids, intact): every text encoded, and whether decoding gives it back."""
-    v = Vocabulary(docs.sparkSession, path)
+    """Rows (doc_id, n_tokens, ids, intact): every text encoded, and whether decoding gives it back.
+
+    Both are done by one worker, so that a task needs one copy of the vocabulary.
+    """
+    shared = Vocabulary(docs.sparkSession, path).shared
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    both = decode(encode(src, v), v)
-    return both.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.col("text").eqNullSafe(F.col("decoded")).alias("intact"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(*shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):  # neither texts nor ids of a whole batch at once
+                b = batch.slice(at, ROWS)
+                texts = b.column("text").to_pylist()
+                ids = [None if t is None else coder.encode(t) for t in texts]
+                intact = [t is None or coder.decode(i.tolist()) == t for t, i in zip(texts, ids)]
+                n = [None if i is None else len(i) for i in ids]
+                yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(intact)], ["doc_id", "n_tokens", "ids", "intact"])
+
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens int, ids array<int>, intact boolean")
