@@ -304,3 +304,40 @@ def corpus_gate(residuals: DataFrame, lineups: DataFrame, *, tolerance: float =
     return n.crossJoin(five).select("n", "median", "p95", "largest", "within", (F.col("five") == 1).alias("all_five"), ((F.col("five") == 1) & (F.col("within") >= share)).alias("passes"))
 
 
+
+
+#: Kinds of action that say nothing about who is on the floor.
+ADMINISTRATIVE = ("Timeout", "Instant Replay", "period", "Game", "Stoppage")
+
+
+def lineup_actions(raw: DataFrame, roster: DataFrame) -> DataFrame:
+    """EVT02, FLT08: raw actions as moves (game_id, period, team_id, player_id, ord, kind, seconds).
+
+    A substitution is two moves: the acting person goes out, the one named in the description, found
+    by :func:`resolve_names`, comes in. Administrative rows are dropped; the person of a technical or an
+    ejection isn't one on the floor for it and becomes null. Order is the position in the log.
+    Names that resolve to nobody give a move with a null player and a reason, for quarantine.
+    """
+    came, _ = X.substitution_names(F.col("description"))
+    sub = F.col("action_type") == "Substitution"
+    base = raw.where(~F.coalesce(F.col("action_type"), F.lit("")).isin(*ADMINISTRATIVE)).withColumns({"seconds": X.clock_elapsed(F.col("clock"), F.col("period")), "name": F.when(sub, came)})
+    benched = F.coalesce(F.col("action_type"), F.lit("")).isin("Ejection") | F.coalesce(F.col("sub_type"), F.lit("")).contains("Technical")
+    person = F.when(benched, None).otherwise(F.nullif("person_id", F.lit(0))).cast("long")
+    acts = base.where(~F.coalesce(sub, F.lit(False))).select("game_id", "period", "team_id", person.alias("player_id"), "ord", F.lit("act").alias("kind"), "seconds", F.lit(None).cast("string").alias("reason"))
+    out = base.where(sub).select("game_id", "period", "team_id", person.alias("player_id"), "ord", F.lit("out").alias("kind"), "seconds", F.lit(None).cast("string").alias("reason"))
+    named = resolve_names(base.where(sub).select("game_id", "team_id", "name", "period", "ord", "seconds"), roster)
+    into = named.select("game_id", "period", "team_id", F.col("player_id").cast("long").alias("player_id"), "ord", F.lit("in").alias("kind"), "seconds", "reason")
+    return acts.unionByName(out).unionByName(into)
+
+
+def box_truth(box_player: DataFrame, advanced: DataFrame, games: DataFrame) -> DataFrame:
+    """EVT14: final score, estimated possessions and player seconds by game and team."""
+    row = lambda s: F.struct(F.col(f"{s}_team_id").alias("team_id"), F.col(f"{s}_final_score").alias("final_score"))
+    team = games.select("game_id", F.explode(F.array(row("home"), row("away"))).alias("t")).select("game_id", "t.*")
+    seconds = box_player.groupBy("game_id", "team_id").agg(F.sum("box_seconds").alias("player_seconds"))
+    return team.join(advanced.select("game_id", "team_id", "possessions"), ["game_id", "team_id"], "left").join(seconds, ["game_id", "team_id"], "left")
+
+
+def final_score_from_log(raw: DataFrame) -> DataFrame:
+    """AGG25: the largest running scores of each game."""
+    return raw.groupBy("game_id").agg(F.coalesce(F.max(X.safe_int(F.col("score_home"))), F.lit(0)).alias("home"), F.coalesce(F.max(X.safe_int(F.col("score_away"))), F.lit(0)).alias("away"))

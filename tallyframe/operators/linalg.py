@@ -267,3 +267,24 @@ def quarantine_bias(games: DataFrame, quarantine: DataFrame) -> DataFrame:
     t = games.select("game_id", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id")).join(q, "game_id", "left")
     g = t.groupBy("team_id").agg(F.count("*").alias("games"), F.count_if(F.coalesce("bad", F.lit(False))).alias("quarantined"))
     return g.withColumn("q_rate", F.col("quarantined") / F.col("games"))
+
+
+def decayed_gram(entries: DataFrame, row_days: DataFrame, half_life: float = 60.0) -> DataFrame:
+    """BAY10: a gram whose rows weigh 0.5 ** (days / half_life); ``row_days``: row_id, days."""
+    w = row_days.select("row_id", F.coalesce(F.pow(F.lit(0.5), F.col("days") / half_life), F.lit(1.0)).alias("w"))
+    return gram(entries.join(w, "row_id"), weight=F.col("w"))
+
+
+def weighted_posterior_mean(n: Normal, mask: np.ndarray, lam: float) -> np.ndarray:
+    """BAY10: the mean for a weighted gram and moment."""
+    return solve_ridge(n, mask, lam)
+
+
+def predictive_coverage(p: Posterior, weights: np.ndarray, margins: np.ndarray, noise: float, levels: tuple[float, ...] = (0.5, 0.8, 0.9, 0.95)) -> dict[float, float]:
+    """BAY07, BAY11: coverage curve of held-out game margins."""
+    return {lv: covered(margins, *p.interval(weights, lv, noise)) for lv in levels}
+
+
+def held_out_rmse(p: Posterior, weights: np.ndarray, margins: np.ndarray) -> float:
+    """BAY11: of the posterior mean's margins."""
+    return float(np.sqrt(np.mean((weights @ p.mean - margins) ** 2)))

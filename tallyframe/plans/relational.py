@@ -631,7 +631,7 @@ def agg28(spark, d):
     return pregame.rosters(_players(spark, d))
 
 
-@query("AGG26_JON17_PRE07_availability_strength", "SELECT game_id, team_id, round(CASE WHEN sum(w) > 0 THEN sum(w * r) / sum(w) ELSE 0 END, 8) AS full_strength, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS missing FROM (SELECT b.game_id, b.team_id, b.person_id % 9 <> 4 AS ok, coalesce(net_rating, 0.0) AS r, coalesce(CAST(n_possessions AS DOUBLE), 0.0) AS w FROM box b JOIN games0 g USING (game_id) LEFT JOIN ratings r ON r.player_id = b.person_id AND r.season + 1 = g.season) GROUP BY 1, 2", "box", "ratings")
+@query("AGG26_JON17_PRE07_availability_strength", "SELECT game_id, team_id, round(CASE WHEN sum(w) > 0 THEN sum(w * r) / sum(w) ELSE 0 END, 10) AS full_strength, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS missing FROM (SELECT b.game_id, b.team_id, b.person_id % 9 <> 4 AS ok, coalesce(net_rating, 0.0) AS r, coalesce(CAST(n_possessions AS DOUBLE), 0.0) AS w FROM box b JOIN games0 g USING (game_id) LEFT JOIN ratings r ON r.player_id = b.person_id AND r.season + 1 = g.season) GROUP BY 1, 2", "box", "ratings")
 def pre07(spark, d):
     a = pregame.availability_strength(_players(spark, d), S.ratings(spark, d))
     return a.select("game_id", "team_id", "full_strength", "missing")
@@ -648,3 +648,59 @@ def jon18(spark, d):
     from tallyframe.operators.linalg import stability
 
     return stability(S.ratings(spark, d))
+
+
+@query("AGG25_final_score_from_log", "SELECT game_id, coalesce(max(try_cast(nullif(score_home, '') AS INTEGER)), 0) AS home, coalesce(max(try_cast(nullif(score_away, '') AS INTEGER)), 0) AS away FROM raw_actions GROUP BY 1", "raw_actions")
+def agg25(spark, d):
+    return eventlog.final_score_from_log(S.raw_actions(spark, d))
+
+
+@query("EVT04_EVT05_AGG01_stints", "SELECT game_id, team_id, b AS start_seconds, e AS end_seconds, CASE WHEN b < t THEN '1-2-3-4-5' ELSE '1-2-3-4-6' END AS lineup_id FROM (SELECT game_id, team_id, t, unnest([{'b': 0.0, 'e': th}, {'b': th, 'e': ta}, {'b': ta, 'e': 720.0}], recursive := true) FROM (SELECT game_id, 1 AS team_id, CAST(60.0 * (1 + o_orderkey % 5) AS DOUBLE) AS th, CAST(60.0 * (6 + o_orderkey % 5) AS DOUBLE) AS ta, CAST(60.0 * (1 + o_orderkey % 5) AS DOUBLE) AS t FROM games0 UNION ALL SELECT game_id, 2, CAST(60.0 * (1 + o_orderkey % 5) AS DOUBLE), CAST(60.0 * (6 + o_orderkey % 5) AS DOUBLE), CAST(60.0 * (6 + o_orderkey % 5) AS DOUBLE) FROM games0))", "games0")
+def evt04(spark, d):
+    """Five players a team; one substitution each, at different times."""
+    g = S.games0(spark, d).select("game_id", "o_orderkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("team_id"))
+    move = lambda p, o, k, t: F.struct(F.lit(p).alias("player_id"), F.lit(o).alias("ord"), F.lit(k).alias("kind"), t.cast("double").alias("seconds"))
+    at = 60.0 * ((F.col("team_id") - 1) * 5 + 1 + F.col("o_orderkey") % 5)
+    m = g.select("game_id", F.lit(1).alias("period"), "team_id", F.explode(F.array(*[move(p, p, "act", F.lit(0.0)) for p in range(1, 6)], move(5, 10, "out", at), move(6, 11, "in", at))).alias("x")).select("game_id", "period", "team_id", "x.*")
+    s, _ = eventlog.stints(m, eventlog.period_starters(m))
+    return s.select("game_id", "team_id", "start_seconds", "end_seconds", "lineup_id")
+
+
+@query("EVT02_JON19_lineup_actions", None)
+def evt02(spark, d):
+    r = S.raw_actions(spark, d).withColumns({"person_id": (F.col("ord") % 9 + 1).cast("long"), "team_id": F.nullif("team_id", F.lit(0))})
+    sub = F.col("ord") % 7 == 3
+    r = r.withColumns({"action_type": F.when(sub, "Substitution").otherwise(F.col("action_type")), "description": F.when(sub, F.concat(F.lit("SUB: P"), (F.col("ord") % 5 + 1).cast("string"), F.lit(" FOR Q"))).otherwise(F.col("description"))})
+    roster = r.select("game_id", "team_id").where("team_id is not null").distinct().select("game_id", "team_id", F.explode(F.sequence(F.lit(1), F.lit(9))).alias("player_id")).withColumns({"short_name": F.concat(F.lit("P"), F.col("player_id").cast("string")), "family_name": F.concat(F.lit("F"), F.col("player_id").cast("string"))})
+    return eventlog.lineup_actions(r, roster)
+
+
+@query("EVT14_box_truth", "SELECT t.game_id, t.team_id, t.final_score, c.possessions, b.player_seconds FROM (SELECT game_id, home_team_id AS team_id, home_final_score AS final_score FROM games UNION ALL SELECT game_id, away_team_id, away_final_score FROM games) t LEFT JOIN (SELECT game_id, offense_team_id AS team_id, CAST(count(*) AS DOUBLE) AS possessions FROM poss GROUP BY 1, 2) c USING (game_id, team_id) LEFT JOIN (SELECT game_id, team_id, CAST(sum(box_seconds) AS BIGINT) AS player_seconds FROM box GROUP BY 1, 2) b USING (game_id, team_id)", "games", "box")
+def evt14(spark, d):
+    adv = S.poss(spark, d).groupBy("game_id", F.col("offense_team_id").alias("team_id")).agg(F.count("*").cast("double").alias("possessions"))
+    return eventlog.box_truth(S.box(spark, d), adv, S.games(spark, d))
+
+
+def _fixture_documents(spark, d):
+    """Box documents made from games, written as JSON in the session's shared folder and read back."""
+    import tempfile
+    import uuid
+
+    from tallyframe.sources import readers
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    path = f"{at.rstrip('/')}/box-json-{uuid.uuid4().hex}"
+    team = lambda s: F.struct(F.col(f"{s}_team_id").alias("teamId"), F.struct(F.col(f"{s}_final_score").alias("points")).alias("statistics"), F.array(F.struct(F.col(f"{s}_team_id").alias("personId"), F.lit("A. B").alias("nameI"), F.struct(F.lit("12:30").alias("minutes"), F.lit(3).alias("fieldGoalsAttempted")).alias("statistics"))).alias("players"))
+    doc = F.struct(F.col("game_id").alias("gameId"), F.col("home_team_id").alias("homeTeamId"), F.col("away_team_id").alias("awayTeamId"), team("home").alias("homeTeam"), team("away").alias("awayTeam"))
+    S.games(spark, d).select(doc.alias("boxScoreTraditional")).write.json(path)
+    return spark.read.schema(readers.BOX).json(path)
+
+
+@query("SRC01_SRC02_SRC05_PRJ01_dim_games_from_json", "SELECT game_id, season, CASE substr(game_id, 1, 3) WHEN '002' THEN 'Regular Season' WHEN '004' THEN 'Playoffs' ELSE 'Unknown' END AS season_type, home_team_id, away_team_id, home_final_score, away_final_score, game_date FROM games", "games")
+def src01(spark, d):
+    return marts.dim_games(_fixture_documents(spark, d), S.games(spark, d).select("game_id", F.col("game_date").cast("string").alias("game_date")))
+
+
+@query("SRC03_SRC04_ARR02_SET01_box_from_json", "SELECT game_id, team_id, team_id AS person_id, 750 AS box_seconds, is_home FROM (SELECT game_id, home_team_id AS team_id, TRUE AS is_home FROM games UNION ALL SELECT game_id, away_team_id, FALSE FROM games)", "games")
+def src03(spark, d):
+    return marts.stg_box_player(_fixture_documents(spark, d)).select("game_id", "team_id", "person_id", "box_seconds", "is_home")
