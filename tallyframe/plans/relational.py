@@ -683,13 +683,9 @@ def evt14(spark, d):
 
 def _fixture_documents(spark, d):
     """Box documents made from games, written as JSON in the session's shared folder and read back."""
-    import tempfile
-    import uuid
+    from tallyframe.sources import readers, sinks
 
-    from tallyframe.sources import readers
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    path = f"{at.rstrip('/')}/box-json-{uuid.uuid4().hex}"
+    path = sinks.scratch(spark, "box-json")
     team = lambda s: F.struct(F.col(f"{s}_team_id").alias("teamId"), F.struct(F.col(f"{s}_final_score").alias("points")).alias("statistics"), F.array(F.struct(F.col(f"{s}_team_id").alias("personId"), F.lit("A. B").alias("nameI"), F.struct(F.lit("12:30").alias("minutes"), F.lit(3).alias("fieldGoalsAttempted")).alias("statistics"))).alias("players"))
     doc = F.struct(F.col("game_id").alias("gameId"), F.col("home_team_id").alias("homeTeamId"), F.col("away_team_id").alias("awayTeamId"), team("home").alias("homeTeam"), team("away").alias("awayTeam"))
     S.games(spark, d).select(doc.alias("boxScoreTraditional")).write.json(path)

@@ -5,13 +5,25 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``; a local session
+    without that setting gets a temporary folder, a cluster without it is an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tallyframe-")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(df: DataFrame, name: str) -> None:
     """SNK01-02: replace a table."""
     df.write.mode("overwrite").saveAsTable(name)
