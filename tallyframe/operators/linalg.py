@@ -84,10 +84,11 @@ class Normal:
     def collect(cls, g: DataFrame, m: DataFrame, p: int) -> Normal:
         """From :func:`gram` and :func:`moment`."""
         a, b = np.zeros((p, p)), np.zeros(p)
-        for r in g.select("i", "j", "value").toLocalIterator():
-            a[r[0], r[1]] = a[r[1], r[0]] = r[2]
-        for r in m.select("i", "value").toLocalIterator():
-            b[r[0]] = r[1]
+        i, j, v = g.select("i", "j", "value").toPandas().to_numpy(dtype=float).reshape(-1, 3).T
+        i, j = i.astype(int), j.astype(int)
+        a[i, j] = a[j, i] = v
+        k, w = m.select("i", "value").toPandas().to_numpy(dtype=float).reshape(-1, 2).T
+        b[k.astype(int)] = w
         return cls(a, b)
 
     def __add__(self, other: Normal) -> Normal:

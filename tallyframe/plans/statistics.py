@@ -242,9 +242,10 @@ def mlr03(spark, d):
 
 @query("MLR07_BAY01_BAY09_ridge_and_posterior", None)
 def mlr07(spark, d):
-    """Fold grams from one job, the penalty by cross-validated moment error, then ratings with SDs."""
-    rows = _design_rows(spark, d)
-    cols = _cols(spark, d).cache()
+    """Fold grams from one job, the penalty by cross-validated squared error, then ratings with SDs; one
+    season, as seasons are blocks of their own."""
+    rows = _design_rows(spark, d).where("season = 2025").cache()
+    cols = linalg.columns(linalg.floor_counts(rows), least=20).cache()
     x = linalg.design(rows, cols).join(rows.select("row_id", "game_id", F.col("points").alias("y")), "row_id").join(linalg.folds(S.games0(spark, d), k=3).select("game_id", "fold"), "game_id").cache()
     p = cols.count()
     mask = np.array([r[0] for r in cols.orderBy("column_id").select("penalised").collect()])
@@ -260,7 +261,7 @@ def mlr07(spark, d):
     post = linalg.posterior(total, mask, lam, sum(sse(beta, f) for f in by), n)
     pairs = cols.where("kind = 0").groupBy("player_id", "season").agg(F.max(F.when(F.col("side") == "O", F.col("column_id"))).alias("o"), F.max(F.when(F.col("side") == "D", F.col("column_id"))).alias("dd")).collect()
     out = [(r["player_id"], r["season"], *post.net(r["o"], r["dd"]), float(lam)) for r in pairs]
-    for c in (cols, x, g, m):
+    for c in (rows, cols, x, g, m):
         c.unpersist()
     return spark.createDataFrame(out, "player_id long, season int, net_rating double, net_sd double, lambda double")
 
