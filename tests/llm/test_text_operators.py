@@ -156,6 +156,13 @@ def test_ngram_join_against_brute_force(spark):
     assert all(abs(want[min(i, g["partner_id"]), max(i, g["partner_id"])] - g["jaccard"]) < 1e-12 for i, g in groups.items())
 
 
+def test_ngram_join_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = near_rows(random.Random(10))[:120]
+    want = sorted(map(tuple, ngram_join.ngram_jaccard_join(docs(spark, rows)).collect()))
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_join(docs(spark, rows)).collect())) == want
+
+
 def test_signature_trees_never_drop_a_pair():
     import numpy as np
 
