@@ -245,7 +245,7 @@ def mlr07(spark, d):
     """Fold grams from one job, the penalty by cross-validated squared error, then ratings with SDs; one
     season, as seasons are blocks of their own."""
     rows = _design_rows(spark, d).where("season = 2025").cache()
-    cols = linalg.columns(linalg.floor_counts(rows), least=20).cache()
+    cols = linalg.columns(linalg.floor_counts(rows), least=150).cache()
     x = linalg.design(rows, cols).join(rows.select("row_id", "game_id", F.col("points").alias("y")), "row_id").join(linalg.folds(S.games0(spark, d), k=3).select("game_id", "fold"), "game_id").cache()
     p = cols.count()
     mask = np.array([r[0] for r in cols.orderBy("column_id").select("penalised").collect()])
