@@ -245,7 +245,7 @@ def mlr07(spark, d):
     """Fold grams from one job, the penalty by cross-validated squared error, then ratings with SDs; one
     season, as seasons are blocks of their own."""
     rows = _design_rows(spark, d).where("season = 2025").cache()
-    cols = linalg.columns(linalg.floor_counts(rows), least=150).cache()
+    cols = linalg.columns(linalg.floor_counts(rows), least=20).cache()
     x = linalg.design(rows, cols).join(rows.select("row_id", "game_id", F.col("points").alias("y")), "row_id").join(linalg.folds(S.games0(spark, d), k=3).select("game_id", "fold"), "game_id").cache()
     p = cols.count()
     mask = np.array([r[0] for r in cols.orderBy("column_id").select("penalised").collect()])
@@ -254,7 +254,7 @@ def mlr07(spark, d):
     yy = {r[0]: r[1] for r in rows.join(linalg.folds(S.games0(spark, d), k=3).select("game_id", "fold"), "game_id").groupBy("fold").agg(F.sum(F.col("points") * F.col("points"))).collect()}
     by = {f: linalg.Normal.collect(g.where(F.col("fold") == f), m.where(F.col("fold") == f), p) for f in sorted(yy)}
     sse = lambda b, f: float(yy[f] - 2 * b @ by[f].b + b @ by[f].a @ b)
-    lam, _ = linalg.select_lambda(by, sse, mask)
+    lam, _ = linalg.select_lambda(by, sse, mask, linalg.LAMBDAS[::3])
     total = sum(list(by.values())[1:], next(iter(by.values())))
     beta = linalg.solve_ridge(total, mask, lam)
     n = rows.count()
