@@ -24,9 +24,11 @@ table, too) no document is toxic. Any other columns are ignored, whatever their
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 import zstandard as zstd
@@ -111,7 +113,7 @@ def fit(rows: list[tuple[int, str, int]], *, level: int = 12, ordinary_bytes: in
     if not n[1] or not n[0]:
         return nothing
     seen = {0: Counter(), 1: Counter()}
-    texts = [(r[2], words(r[1])) for r in train]
+    texts = [(r[2], [sys.intern(w) for w in words(r[1])]) for r in train]  # a word is held once
     for toxic, ws in texts:
         seen[toxic].update({p for w in set(ws) for p in _pieces(w)})
     support = min(support, max(2, n[1] // 30))
@@ -123,12 +125,13 @@ def fit(rows: list[tuple[int, str, int]], *, level: int = 12, ordinary_bytes: in
     toxic = sorted({p for t, ws in texts if t for w in set(ws) if (p := piece(w))}, key=lambda p: (seen[1][p], p))
     if not toxic:
         return nothing
-    known: dict[str, bool] = {}
-    plain = [f" {w} ".encode() for t, ws in texts if not t for w in ws if not known.setdefault(w, piece(w) is not None)]
-    step = max(1, len(plain) // 300_000)
-    model = ToxicityModel("".join(toxic).encode() + CARRIER, _dictionary(plain[::step], ordinary_bytes) + CARRIER, level, 0, 1.0)
+    marked = {w for t, ws in texts if not t for w in set(ws) if piece(w) is not None}
+    step = max(1, sum(len(ws) for t, ws in texts if not t) // 300_000)
+    plain = [f" {w} ".encode() for w in islice((w for t, ws in texts if not t for w in ws if w not in marked), 0, None, step)]
+    model = ToxicityModel("".join(toxic).encode() + CARRIER, _dictionary(plain, ordinary_bytes) + CARRIER, level, 0, 1.0)
+    del plain, texts, seen
     gain = WindowGain(*model.compressors())
-    scored = [(r[2], [gain(w) for w in words(r[1])]) for r in (held or train)]
+    scored = [(r[2], bytes(max(0, gain(w)) for w in words(r[1]))) for r in (held or train)]
     best = (-1.0, 0, 1.0)
     for g in range(3, 9):
         shares = [(t, sum(x >= g for x in s) / len(s)) for t, s in scored]
