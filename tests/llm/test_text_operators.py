@@ -156,6 +156,22 @@ def test_ngram_join_against_brute_force(spark):
     assert all(abs(want[min(i, g["partner_id"]), max(i, g["partner_id"])] - g["jaccard"]) < 1e-12 for i, g in groups.items())
 
 
+def test_ngram_join_large_copy_groups_with_rarer_passages(spark):
+    """Copies of one body that also hold a passage of few documents stay in the body's group."""
+    rng = random.Random(12)
+    rows, group = [], {}
+    for body in range(4):
+        common = words(rng, 300, 100_000)
+        first = len(rows)
+        passages = [words(rng, 140, 100_000) for _ in range(2)]
+        for k in range(50):
+            passage = " " + passages[k % 2] if k >= 38 else ""
+            group[len(rows)] = first
+            rows.append((len(rows), f"{common}{passage} {words(rng, 2, 100_000)}"))
+    got = {r["doc_id"]: r["group_id"] for r in ngram_join.ngram_jaccard_join(docs(spark, rows)).collect()}
+    assert got == group
+
+
 def test_ngram_join_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = near_rows(random.Random(10))[:120]
     want = sorted(map(tuple, ngram_join.ngram_jaccard_join(docs(spark, rows)).collect()))
