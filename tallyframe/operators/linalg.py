@@ -110,7 +110,24 @@ def solve_ridge(n: Normal, mask: np.ndarray, lam: float) -> np.ndarray:
         return np.linalg.lstsq(a, n.b, rcond=None)[0]
 
 
-def select_lambda(by_fold: dict[int, Normal], score, mask: np.ndarray, lambdas: np.ndarray = LAMBDAS) -> tuple[float, dict[float, float]]:
+def solve_blocks(n: Normal, mask: np.ndarray, lam: float, block: np.ndarray) -> np.ndarray:
+    """:func:`solve_ridge` where columns of different ``block`` numbers never meet in a row; those of
+    block -1 may meet all. Each block is solved by itself, the shared columns by their complement."""
+    pen, edge, out = penalty(mask, lam), np.flatnonzero(block < 0), np.zeros(len(mask))
+    s, r, parts = n.a[np.ix_(edge, edge)] + np.diag(pen[edge]), n.b[edge].copy(), []
+    for k in np.unique(block[block >= 0]):
+        at = np.flatnonzero(block == k)
+        side = n.a[np.ix_(at, edge)]
+        x = np.linalg.solve(n.a[np.ix_(at, at)] + np.diag(pen[at]), np.column_stack([side, n.b[at]]))
+        s, r = s - side.T @ x[:, :-1], r - side.T @ x[:, -1]
+        parts.append((at, x))
+    out[edge] = np.linalg.solve(s, r)
+    for at, x in parts:
+        out[at] = x[:, -1] - x[:, :-1] @ out[edge]
+    return out
+
+
+def select_lambda(by_fold: dict[int, Normal], score, mask: np.ndarray, lambdas: np.ndarray = LAMBDAS, solve=solve_ridge) -> tuple[float, dict[float, float]]:
     """MLR07: the lambda of least mean ``score(beta, fold)``; each fold's gram is computed once and a
     training gram is the sum of the others."""
     curve = {}
@@ -118,7 +135,7 @@ def select_lambda(by_fold: dict[int, Normal], score, mask: np.ndarray, lambdas:
         out = []
         for f in by_fold:
             rest = [n for k, n in by_fold.items() if k != f]
-            out.append(score(solve_ridge(sum(rest[1:], rest[0]), mask, lam), f))
+            out.append(score(solve(sum(rest[1:], rest[0]), mask, lam), f))
         curve[float(lam)] = float(np.mean(out))
     return min(curve, key=curve.get), curve
 

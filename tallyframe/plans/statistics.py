@@ -242,21 +242,23 @@ def mlr03(spark, d):
 
 @query("MLR07_BAY01_BAY09_ridge_and_posterior", None)
 def mlr07(spark, d):
-    """Fold grams from one job, the penalty by cross-validated squared error, then ratings with SDs; one
-    season, as seasons are blocks of their own."""
-    rows = _design_rows(spark, d).where("season = 2025").cache()
+    """Fold grams from one job, the penalty by cross-validated squared error, then ratings with SDs; all
+    seasons together, as they share the penalty, the home column and the residual variance."""
+    rows = _design_rows(spark, d).cache()
     cols = linalg.columns(linalg.floor_counts(rows), least=20).cache()
     x = linalg.design(rows, cols).join(rows.select("row_id", "game_id", F.col("points").alias("y")), "row_id").join(linalg.folds(S.games0(spark, d), k=3).select("game_id", "fold"), "game_id").cache()
     p = cols.count()
-    mask = np.array([r[0] for r in cols.orderBy("column_id").select("penalised").collect()])
+    laid = cols.orderBy("column_id").select("penalised", F.coalesce("season", F.lit(-1))).collect()
+    mask, block = np.array([r[0] for r in laid]), np.array([r[1] for r in laid])
+    solve = lambda n, mask, lam: linalg.solve_blocks(n, mask, lam, block)
     e = x.select("fold", "row_id", "column_id", "value")
     g, m = linalg.gram(e, "fold").cache(), x.groupBy("fold", F.col("column_id").alias("i")).agg(F.sum(F.col("value") * F.col("y")).alias("value")).cache()
     yy = {r[0]: r[1] for r in rows.join(linalg.folds(S.games0(spark, d), k=3).select("game_id", "fold"), "game_id").groupBy("fold").agg(F.sum(F.col("points") * F.col("points"))).collect()}
     by = {f: linalg.Normal.collect(g.where(F.col("fold") == f), m.where(F.col("fold") == f), p) for f in sorted(yy)}
     sse = lambda b, f: float(yy[f] - 2 * b @ by[f].b + b @ by[f].a @ b)
-    lam, _ = linalg.select_lambda(by, sse, mask, linalg.LAMBDAS[::3])
+    lam, _ = linalg.select_lambda(by, sse, mask, solve=solve)
     total = sum(list(by.values())[1:], next(iter(by.values())))
-    beta = linalg.solve_ridge(total, mask, lam)
+    beta = solve(total, mask, lam)
     n = rows.count()
     post = linalg.posterior(total, mask, lam, sum(sse(beta, f) for f in by), n)
     pairs = cols.where("kind = 0").groupBy("player_id", "season").agg(F.max(F.when(F.col("side") == "O", F.col("column_id"))).alias("o"), F.max(F.when(F.col("side") == "D", F.col("column_id"))).alias("dd")).collect()

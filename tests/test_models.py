@@ -105,3 +105,32 @@ def test_gate_outcomes():
     assert out == {"gates": {"a": True, "b": False}, "structural_pass": True, "pass": False, "failed": ["b"]}
     assert all(gates.posterior_gates(0.9, 0.9, 1.0, 1.0).values())
     assert gates.comparison_gates(3, 3, (-0.2, -0.1), True)["improves"]
+
+
+def test_ridge_query_has_all_seasons_and_penalties(spark, monkeypatch):
+    from tallyframe.plans import standins, statistics
+
+    sf, tried = "/root/testdata/sf0.001", []
+    select = linalg.select_lambda
+
+    def recorded(by, score, mask, lambdas=linalg.LAMBDAS, **how):
+        tried.extend(lambdas)
+        return select(by, score, mask, lambdas, **how)
+
+    monkeypatch.setattr(linalg, "select_lambda", recorded)
+    got = statistics.mlr07(spark, sf).collect()
+    counts = linalg.floor_counts(standins.poss(spark, sf)).where("n >= 20").collect()
+    assert {(r["player_id"], r["season"]) for r in got} == {(r["player_id"], r["season"]) for r in counts}
+    assert len({r["season"] for r in got}) > 1
+    assert tried == list(linalg.LAMBDAS)
+
+
+def test_ridge_by_blocks_equals_the_whole_solution():
+    rng = np.random.default_rng(5)
+    block = np.array([0, 0, 0, 1, 1, 1, 1, -1])
+    x = rng.normal(size=(60, 8))
+    x[:30, block == 1] = 0
+    x[30:, block == 0] = 0
+    y, mask = rng.normal(size=60), block >= 0
+    n = linalg.Normal(x.T @ x, x.T @ y)
+    assert np.allclose(linalg.solve_blocks(n, mask, 3.0, block), linalg.solve_ridge(n, mask, 3.0))
