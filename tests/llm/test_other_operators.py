@@ -268,3 +268,29 @@ def test_chat_spans(spark):
     assert [t for c, t, s, _ in sorted(got, key=lambda x: x[2]) if c == 3] == [5, None]
     assert [x for c, *_, x in got if c == 2] == ["<|im_start|>\n<|im_end|>\n"]
     assert chat_format.chat_spans(df.limit(0)).count() == 0
+
+
+def test_embedding_plan_keeps_recall_in_a_dense_cluster():
+    """100,000 vectors of mutual cosine 0.8 with pairs at 0.955 among them; a table of 10**9 vectors."""
+    import numpy as np
+    from tallyframe.llm import embedding_dedup
+
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, dim = 100_000, 64
+    m = unit(np.sqrt(0.8) * unit(rng.normal(size=(1, dim))) + np.sqrt(0.2) * unit(rng.normal(size=(n, dim)))).astype(np.float32)
+    away = rng.normal(size=(1000, dim))
+    away -= (away * m[:1000]).sum(axis=1, keepdims=True) * m[:1000]
+    m[1000:2000] = 0.955 * m[:1000] + np.sqrt(1 - 0.955**2) * unit(away)
+    passes, window = embedding_dedup.plan(m[rng.choice(n, embedding_dedup.SAMPLE, replace=False)], n, 0.95)
+    met = np.zeros(1000, dtype=bool)
+    for k in range(passes):
+        key = np.packbits((m @ embedding_dedup._planes(k, dim, 64, 11)) > 0, axis=1).view(">u8")[:, 0]
+        place = np.empty(n, dtype=int)
+        place[np.argsort(key, kind="stable")] = np.arange(n)
+        met |= abs(place[:1000] - place[1000:2000]) <= window
+    assert met.mean() >= 0.9, (passes, window, met.mean())
+    spread = unit(rng.normal(size=(embedding_dedup.SAMPLE, dim)))
+    for n in (10**6, 10**7, 10**8, 10**9):
+        passes, window = embedding_dedup.plan(spread, n, 0.95)
+        assert 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** np.log2(n / window)) ** passes >= 0.9
