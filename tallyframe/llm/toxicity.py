@@ -3,8 +3,9 @@
 Two zstandard dictionaries are trained from labelled text, one on toxic and one on ordinary
 passages. A window of text is compressed with each; a window that is shorter by at least ``gain``
 bytes under the toxic dictionary counts as toxic, and a document is rejected when more than
-``share`` of its windows are. Both thresholds are calibrated on labelled documents that trained
-neither dictionary.
+``share`` of its windows are, or more than ``local`` of some ``RUN`` successive ones, so that length
+can't hide a passage. The thresholds are calibrated on labelled documents that trained neither
+dictionary.
 
 Windows are single words between blanks, followed by a fixed carrier that ends both dictionaries:
 zstandard starts no match in the last bytes of its input and stores very small inputs as they are,
@@ -41,6 +42,8 @@ CARRIER = b"#0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ#"
 PREFIXES = (5, 6, 7, 8, 9)
 #: Distinct words a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
+#: Successive windows among which a passage's toxic ones are counted.
+RUN = 100
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,7 @@ class ToxicityModel:
     level: int
     gain: int
     share: float
+    local: float = float("inf")
 
     def compressors(self):
         """Functions bytes -> bytes for the toxic and the ordinary dictionary."""
@@ -86,6 +90,16 @@ class WindowGain:
         return v
 
 
+def densest(at: list[int], run: int = RUN) -> int:
+    """The most of the rising positions ``at`` that ``run`` successive ones hold."""
+    most = first = 0
+    for last, x in enumerate(at):
+        while x - at[first] >= run:
+            first += 1
+        most = max(most, last - first + 1)
+    return most
+
+
 def _pieces(word: str) -> list[str]:
     w = f" {word} "
     return [w, *(w[:a] for a in PREFIXES if len(w) > a)]
@@ -132,14 +146,17 @@ def fit(rows: list[tuple[int, str, int]], *, level: int = 12, ordinary_bytes: in
     del plain, texts, seen
     gain = WindowGain(*model.compressors())
     scored = [(r[2], bytes(max(0, gain(w)) for w in words(r[1]))) for r in (held or train)]
-    best = (-1.0, 0, 1.0)
+    best = (-1.0, 0, 1.0, 0.0)
     for g in range(3, 9):
-        shares = [(t, sum(x >= g for x in s) / len(s)) for t, s in scored]
+        hits = [(t, len(s), [k for k, x in enumerate(s) if x >= g]) for t, s in scored]
+        shares = [(t, len(at) / n, densest(at)) for t, n, at in hits]
         for share in (0.0, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03, 0.05):
-            tp, fp = sum(t and s > share for t, s in shares), sum(not t and s > share for t, s in shares)
-            f1 = 2 * tp / (tp + fp + sum(t for t, _ in shares) or 1)
-            best = max(best, (round(f1, 6), g, share))
-    return ToxicityModel(model.toxic, model.ordinary, level, best[1], best[2]) if best[0] > 0 else nothing
+            # of equal F1, the local threshold that lets the fewest passages through
+            for local in [*range(1, 21), float("inf")]:
+                tp, fp = (sum(t == kind and (s > share or m > local) for t, s, m in shares) for kind in (1, 0))
+                f1 = 2 * tp / (tp + fp + sum(t for t, _, _ in shares) or 1)
+                best = max(best, (round(f1, 6), g, share, -local))
+    return ToxicityModel(model.toxic, model.ordinary, level, best[1], best[2], -best[3]) if best[0] > 0 else nothing
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
@@ -163,9 +180,9 @@ def toxicity_score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
             found = []
             for text in texts:
                 ws = words(text)
-                hits = sum(gain(w) >= model.gain for w in ws) if gain else 0
-                share = hits / len(ws) if ws else 0.0
-                found.append((len(ws), hits, share, hits > 0 and share > model.share))
+                at = [k for k, w in enumerate(ws) if gain(w) >= model.gain] if gain else []
+                share = len(at) / len(ws) if ws else 0.0
+                found.append((len(ws), len(at), share, len(at) > 0 and (share > model.share or densest(at) > model.local)))
             yield pd.DataFrame(found, columns=kind.names)
 
     udf = F.pandas_udf(score, kind)

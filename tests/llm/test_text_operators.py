@@ -44,6 +44,16 @@ def test_toxicity_held_out(spark):
     assert sum(got[i] for i in want if not want[i]) <= 2
 
 
+def test_toxicity_passage_in_a_long_document(spark):
+    rows = toxic_rows(random.Random(11))
+    model = toxicity.fit(rows[:400])
+    plain = [t for _, t, label in rows if not label]
+    long = " ".join(plain[k % len(plain)] for k in range(170))
+    passage = next(t for _, t, label in rows[400:] if label)
+    got = {r["doc_id"]: r["toxicity"]["toxic"] for r in toxicity.toxicity_score(docs(spark, [(1, long), (2, f"{long} {passage} {long}")]), model).collect()}
+    assert got == {1: False, 2: True}
+
+
 def test_toxicity_edges(spark):
     rows = toxic_rows(random.Random(2))
     model = toxicity.fit(rows)
