@@ -317,10 +317,12 @@ def log06(spark, d):
 
 @query("LOG09_orthogonality", None)
 def log09(spark, d):
-    r = S._t(spark, d, "part").limit(1500).select("p_partkey").toPandas()["p_partkey"].to_numpy()
+    # 89 x 83 x 2 groups at most, whatever the rows
+    r = F.col("p_partkey").cast("long")
     p, q = (r % 89 + 5) / 99.0, (r * 7 % 83 + 8) / 99.0
-    y = ((r * 31 % 97) / 97.0 < p).astype(float)
-    b = logistic.orthogonality(p, q, y)
+    t = S._t(spark, d, "part").select(p.alias("p"), q.alias("q"), ((r * 31 % 97) / 97.0 < p).cast("double").alias("y"))
+    g = t.groupBy("p", "q", "y").count().toPandas().to_numpy(dtype=float)
+    b = logistic.orthogonality(*g.T)
     return spark.createDataFrame([tuple(float(x) for x in b)], "intercept double, market double, model double")
 
 

@@ -134,3 +134,13 @@ def test_ridge_by_blocks_equals_the_whole_solution():
     y, mask = rng.normal(size=60), block >= 0
     n = linalg.Normal(x.T @ x, x.T @ y)
     assert np.allclose(linalg.solve_blocks(n, mask, 3.0, block), linalg.solve_ridge(n, mask, 3.0))
+
+
+def test_orthogonality_query_fits_the_whole_table(spark):
+    from tallyframe.plans import statistics
+
+    sf = "/root/testdata/sf0.1"
+    r = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").toPandas()["p_partkey"].to_numpy()
+    p, q = (r % 89 + 5) / 99.0, (r * 7 % 83 + 8) / 99.0
+    want = logistic.orthogonality(p, q, ((r * 31 % 97) / 97.0 < p).astype(float))
+    assert np.allclose(list(statistics.log09(spark, sf).first()), want, atol=1e-8)
