@@ -40,12 +40,13 @@ from pyspark.sql.window import Window
 
 from tallyframe.llm.common import written
 
-TOKEN = re.compile(r"[a-z0-9ß-öø-ÿ]+")
+#: Letters and digits of any script; of Latin-1, those that the SQL has.
+TOKEN = re.compile(r"[^\W_ª²³µ¹º¼-¾]+")
 K1, B, MICRO = 1.2, 0.75, 1_000_000
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case words of letters (Latin-1) and digits."""
+    """Lower-case words of letters and digits."""
     return TOKEN.findall(text.lower()) if text else []
 
 

@@ -294,3 +294,12 @@ def test_embedding_plan_keeps_recall_in_a_dense_cluster():
     for n in (10**6, 10**7, 10**8, 10**9):
         passes, window = embedding_dedup.plan(spread, n, 0.95)
         assert 1 - (1 - (1 - np.arccos(0.95) / np.pi) ** np.log2(n / window)) ** passes >= 0.9
+
+
+def test_topk_tokens_of_any_script():
+    import re
+    from tallyframe.llm import topk_search
+
+    assert topk_search.tokens("Привет, мир! cœur Łódź 東京 word_2 École") == ["привет", "мир", "cœur", "łódź", "東京", "word", "2", "école"]
+    latin = "".join(map(chr, range(256))).lower()
+    assert topk_search.tokens(latin) == re.findall(r"[a-z0-9\u00df-\u00f6\u00f8-\u00ff]+", latin)
