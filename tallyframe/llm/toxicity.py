@@ -7,31 +7,38 @@ bytes under the toxic dictionary counts as toxic, and a document is rejected whe
 can't hide a passage. The thresholds are calibrated on labelled documents that trained neither
 dictionary.
 
+A label is of a whole document, most of whose text is ordinary even if it is toxic. So training goes in
+``rounds``: at first the toxic dictionary is trained on all text of toxic documents, then on those of
+their windows that it compresses better than the ordinary one does; the ordinary dictionary is trained
+on all ordinary text, and again with the ordinary windows that went wrong in the rounds before. Of
+all rounds the pair of dictionaries that serves the calibration documents best is kept. Both
+dictionaries are zstandard's (its COVER trainer) and no word is chosen by hand or by a count.
+
 Windows are single words between blanks, followed by a fixed carrier that ends both dictionaries:
 zstandard starts no match in the last bytes of its input and stores very small inputs as they are,
-so a bare word would compress equally under either dictionary. Distinct words are compressed once
-per worker and remembered.
-
-What goes into the toxic dictionary are the pieces of toxic text (words, or beginnings of words)
-that occur in many toxic and proportionally few ordinary documents; the rest of a toxic document
-is ordinary prose, which would only teach the dictionary what the other one has as well.
+so a bare word would compress equally under either dictionary. Windows of several words were tried:
+the chance differences of their ordinary words outweigh what one toxic word saves (README). Distinct
+words are compressed once per worker and remembered. The dictionaries are read as content: their entropy
+tables, of texts of different length, would shift all windows.
 
 Defined cases: a null or empty text, or one without a letter, has 0 windows, share 0.0 and is not
 toxic. Whole texts are scored, however long. Repeated rows are scored alike. A null label or a
-label of an absent document is not used. With no labelled toxic or no ordinary document (an empty
-table, too) no document is toxic. Any other columns are ignored, whatever their names.
+label of an absent document is not used; ids may be of any type. With no labelled toxic or no ordinary
+document (an empty table, too) no document is toxic. With too little text for the trainer the text
+itself is the dictionary. Other columns are ignored, but one named ``out`` is replaced in what
+:func:`toxicity_score` returns.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
+import numpy as np
 import pandas as pd
+import xxhash
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +46,17 @@ from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W\d_]+")
 CARRIER = b"#0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ#"
-PREFIXES = (5, 6, 7, 8, 9)
 #: Distinct words a worker remembers before it starts afresh.
 REMEMBERED = 1_000_000
 #: Successive windows among which a passage's toxic ones are counted.
 RUN = 100
+#: Words of a training passage.
+PASSAGE = 50
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Dictionaries (a few KB) and thresholds; ``gain`` 0 marks a model that rejects nothing."""
+    """Dictionaries and thresholds; ``gain`` 0 marks a model that rejects nothing."""
 
     toxic: bytes
     ordinary: bytes
@@ -100,63 +108,77 @@ def densest(at: list[int], run: int = RUN) -> int:
     return most
 
 
-def _pieces(word: str) -> list[str]:
-    w = f" {word} "
-    return [w, *(w[:a] for a in PREFIXES if len(w) > a)]
+def _passages(texts: list[list[str]], keep: set[str] | None = None) -> list[bytes]:
+    """Texts, or their windows that are kept, in passages for the trainer."""
+    out = []
+    for ws in texts:
+        ws = ws if keep is None else [w for w in ws if w in keep]
+        out += [f" {' '.join(ws[i : i + PASSAGE])} ".encode() for i in range(0, len(ws), PASSAGE)]
+    return out
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
+def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
     """Trained by zstandard; where there is too little text to train on, the text itself."""
     try:
-        return zstd.train_dictionary(size, samples).as_bytes()
-    except zstd.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
-
+        return zstd.train_dictionary(size, samples, k=segment, d=6).as_bytes() + CARRIER
+    except (zstd.ZstdError, ValueError):
+        return b"".join(dict.fromkeys(samples))[-size:] + CARRIER
+
+
+def _calibrated(kind: np.ndarray, size: np.ndarray, doc: np.ndarray, gains: np.ndarray) -> tuple[float, int, float, float]:
+    """(F, gain, share, local) of the best thresholds: ``kind`` and ``size`` by document, ``doc`` and
+    ``gains`` by window, in order. F counts a toxic document missed like two ordinary ones rejected."""
+    first = np.concatenate(([0], np.cumsum(size)))
+    best = (-1.0, 0, 1.0, float("-inf"))
+    for g in range(2, 9):
+        at = np.flatnonzero(gains >= g)
+        hits = np.bincount(doc[at], minlength=len(kind))
+        edge = np.concatenate(([0], np.cumsum(hits)))
+        part, most = hits / size, np.zeros(len(kind), dtype=int)
+        for d in np.flatnonzero(hits):
+            most[d] = densest((at[edge[d] : edge[d + 1]] - first[d]).tolist())
+        for share in (0.0, 0.001, 0.002, 0.003, 0.004, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03, 0.05):
+            # of equal F, the local threshold that lets the fewest passages through
+            for local in [*range(1, 21), float("inf")]:
+                said = (part > share) | (most > local)
+                tp = int((said & kind).sum())
+                f = 3 * tp / max(1, int(said.sum()) + 2 * int(kind.sum()))
+                best = max(best, (round(f, 6), g, share, -local))
+    return best[0], best[1], best[2], -best[3]
 
-def fit(rows: list[tuple[int, str, int]], *, level: int = 12, ordinary_bytes: int = 8192, ratio: float = 10.0, support: int = 5) -> ToxicityModel:
-    """A model from (doc_id, text, toxic) rows: three in five train, the others calibrate.
 
-    A piece is used if at least ``support`` toxic training documents have it, ``ratio`` times the
-    share of ordinary documents that do (``support`` is lower with under 150 toxic documents).
-    """
+def fit(rows: list[tuple], *, level: int = 12, toxic_bytes: int = 8192, ordinary_bytes: int = 112_640, rounds: int = 8) -> ToxicityModel:
+    """A model from (doc_id, text, toxic) rows: three in five train, the others calibrate."""
     nothing = ToxicityModel(b"", b"", level, 0, 1.0)
-    rows = sorted((r for r in rows if r[1] and words(r[1])), key=lambda r: (r[0], r[1]))
-    part = lambda r: ((r[0] * 2654435761) >> 7) % 10
-    train, held = [r for r in rows if part(r) < 6], [r for r in rows if part(r) >= 6]
-    n = Counter(r[2] for r in train)
-    if not n[1] or not n[0]:
-        return nothing
-    seen = {0: Counter(), 1: Counter()}
-    texts = [(r[2], [sys.intern(w) for w in words(r[1])]) for r in train]  # a word is held once
-    for toxic, ws in texts:
-        seen[toxic].update({p for w in set(ws) for p in _pieces(w)})
-    support = min(support, max(2, n[1] // 30))
-    good = {p for p, c in seen[1].items() if c >= support and (c / n[1]) / ((seen[0][p] + 1) / n[0]) >= ratio}
-
-    def piece(word: str) -> str | None:
-        return next((p for p in _pieces(word)[:1] + _pieces(word)[:0:-1] if p in good), None)
-
-    toxic = sorted({p for t, ws in texts if t for w in set(ws) if (p := piece(w))}, key=lambda p: (seen[1][p], p))
-    if not toxic:
+    rows = [(xxhash.xxh64_intdigest(str(i)) % 10, t, [sys.intern(w) for w in words(x)]) for i, x, t in sorted(rows, key=lambda r: (str(r[0]), r[1] or ""))]  # a word is held once
+    rows = [r for r in rows if r[2]]
+    texts: dict[int, list[list[str]]] = {0: [], 1: []}
+    for part, t, ws in rows:
+        if part < 6:
+            texts[t].append(ws)
+    if not texts[0] or not texts[1]:
         return nothing
-    marked = {w for t, ws in texts if not t for w in set(ws) if piece(w) is not None}
-    step = max(1, sum(len(ws) for t, ws in texts if not t) // 300_000)
-    plain = [f" {w} ".encode() for w in islice((w for t, ws in texts if not t for w in ws if w not in marked), 0, None, step)]
-    model = ToxicityModel("".join(toxic).encode() + CARRIER, _dictionary(plain, ordinary_bytes) + CARRIER, level, 0, 1.0)
-    del plain, texts, seen
-    gain = WindowGain(*model.compressors())
-    scored = [(r[2], bytes(max(0, gain(w)) for w in words(r[1]))) for r in (held or train)]
-    best = (-1.0, 0, 1.0, 0.0)
-    for g in range(3, 9):
-        hits = [(t, len(s), [k for k, x in enumerate(s) if x >= g]) for t, s in scored]
-        shares = [(t, len(at) / n, densest(at)) for t, n, at in hits]
-        for share in (0.0, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01, 0.015, 0.02, 0.03, 0.05):
-            # of equal F1, the local threshold that lets the fewest passages through
-            for local in [*range(1, 21), float("inf")]:
-                tp, fp = (sum(t == kind and (s > share or m > local) for t, s, m in shares) for kind in (1, 0))
-                f1 = 2 * tp / (tp + fp + sum(t for t, _, _ in shares) or 1)
-                best = max(best, (round(f1, 6), g, share, -local))
-    return ToxicityModel(model.toxic, model.ordinary, level, best[1], best[2], -best[3]) if best[0] > 0 else nothing
+    held = [r[1:] for r in rows if r[0] >= 6] or [r[1:] for r in rows]
+    number: dict[str, int] = {}
+    windows = np.fromiter((number.setdefault(w, len(number)) for _, ws in held for w in ws), np.int64)
+    kind, size = np.array([t for t, _ in held], dtype=bool), np.array([len(ws) for _, ws in held])
+    doc = np.repeat(np.arange(len(held)), size)
+    seen = [sorted({w for ws in texts[k] for w in ws}) for k in (0, 1)]
+    plain = _passages(texts[0])
+    wrong: list[bytes] = []
+    toxic, best = _dictionary(_passages(texts[1]), toxic_bytes, 12), (-1.0, nothing)
+    for _ in range(rounds):
+        model = ToxicityModel(toxic, _dictionary(plain + wrong, ordinary_bytes, 16), level, 0, 1.0)
+        gain = WindowGain(*model.compressors())
+        f, g, share, local = _calibrated(kind, size, doc, np.fromiter(map(gain, number), np.int16, len(number))[windows])
+        if f > 0 and f >= best[0]:
+            best = f, ToxicityModel(model.toxic, model.ordinary, level, g, share, local)
+        mine, amiss = {w for w in seen[1] if gain(w) >= 2}, {w for w in seen[0] if gain(w) >= 1}
+        if not mine:
+            break
+        toxic = _dictionary(_passages(texts[1], mine), toxic_bytes, 12)
+        wrong += 2 * _passages(texts[0], amiss)
+    return best[1]
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
