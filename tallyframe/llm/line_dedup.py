@@ -14,9 +14,10 @@ fewer than ``min_chars`` characters are always kept, as short sentences recur by
 
 Defined cases: a null text, an empty one and one with no line of ``min_chars`` stay as they are. A
 document all of whose longer lines are repeats is dropped, short lines included. Null ids come
-after all others. Rows equal in id and text are one document and are written once each; rows with
-one id and different texts are different documents, ordered by a hash of the text. Other columns
-are carried along whatever their names. An empty table gives an empty table.
+after all others. Of rows equal in id (null too) and text one stays, any of them if their other columns
+differ; rows with one id and different texts are different documents, ordered by a hash of the text. Other
+columns are carried along whatever their names, but a whole-number column ``n_chars`` follows the text's
+length. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.llm.common import new_path, remove_paths
 
@@ -96,6 +98,33 @@ class LineRuns:
                 remove_paths(self.spark, [p for _, p in old])
             k += 1
 
+    def save(self, path: str) -> None:
+        """Write the list of runs, so that a later job can go on with :meth:`open`."""
+        rows = [(k, p, self.fanout, self.min_chars, self.buckets) for k, level in enumerate(self.levels) for _, p in level]
+        self.spark.createDataFrame(rows, "level int, path string, fanout int, min_chars int, buckets int").coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LineRuns:
+        """The runs that :meth:`save` listed; their files are used as they are."""
+        rows = spark.read.schema("level int, path string, fanout int, min_chars int, buckets int").json(path).orderBy("level").collect()
+        if not rows:
+            return cls(spark)
+        runs = cls(spark, fanout=rows[0]["fanout"], min_chars=rows[0]["min_chars"])
+        runs.buckets = rows[0]["buckets"]
+        runs.levels = [[] for _ in range(rows[-1]["level"] + 1)]
+        for r in rows:
+            name = f"line_run_{uuid.uuid4().hex}"
+            kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(r["path"]).schema)
+            spark.sql(f"create table {name} ({kind}) using parquet clustered by (h1) sorted by (h1, h2) into {runs.buckets} buckets location '{r['path']}'")
+            runs.levels[r["level"]].append((name, r["path"]))
+        return runs
+
+    def close(self) -> None:
+        """Take the runs out of the catalogue; their files stay, and what reads them goes on."""
+        for level in self.levels:
+            for name, _ in level:
+                self.spark.sql(f"drop table if exists {name}")
+
     def positions(self) -> DataFrame:
         """The kept positions of all batches so far: nul, id, th, line."""
         parts = [self.spark.table(name).select("nul", "id", "th", "line") for level in self.levels for name, _ in level]
@@ -106,7 +135,7 @@ def keep_lines(docs: DataFrame, positions: DataFrame, *, id_col: str = "doc_id",
     """``docs`` with only the lines at ``positions`` and the short ones; see the module's text."""
     kept = positions.groupBy("nul", "id", "th").agg(F.collect_list("line").alias("lines"))
     row = docs.select(F.col(id_col).isNull().alias("nul"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = row.join(kept.withColumn("id", F.coalesce("id", F.lit(0))), ["nul", "id", "th"], "left")
+    joined = row.dropDuplicates(["nul", "id", "th"]).join(kept.withColumn("id", F.coalesce("id", F.lit(0))), ["nul", "id", "th"], "left")
 
     @F.pandas_udf("struct<text string, gone boolean>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -130,8 +159,8 @@ def keep_lines(docs: DataFrame, positions: DataFrame, *, id_col: str = "doc_id",
     for c in docs.columns:
         if c == text_col:
             take.append(F.col("cut.text").alias(c))
-        elif c == "n_chars":
-            take.append(F.coalesce(F.length("cut.text").cast("long"), F.col("row").getField(c).cast("long")).alias(c))
+        elif c == "n_chars" and isinstance(docs.schema[c].dataType, T.IntegralType):
+            take.append(F.coalesce(F.length("cut.text"), F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c))
         else:
             take.append(F.col("row").getField(c).alias(c))
     return done.select(*take)
@@ -153,7 +182,9 @@ def line_dedup(docs: DataFrame, *, batches: int = 4, fanout: int = 2, min_chars:
         if k < len(cuts):
             part = part.where(i <= cuts[k])
         runs.add(part, id_col, text_col)
-    return keep_lines(docs, runs.positions(), id_col=id_col, text_col=text_col, min_chars=min_chars)
+    kept = keep_lines(docs, runs.positions(), id_col=id_col, text_col=text_col, min_chars=min_chars)
+    runs.close()
+    return kept
 
 
 ORACLE = r"""
