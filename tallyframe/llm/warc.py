@@ -6,8 +6,11 @@ digest so far). A payload is never held whole, so a record may be larger than me
 incremental: each row carries the SHA-256 of the payload up to and including its chunk, and the last
 row says whether the SHA-1 that the record declares is right.
 
-Writing: rows of a record table become WARC/1.1 ``resource`` records, one gzip member a record, one
-file a task; the payload goes through the compressor in chunks.
+Writing: :func:`write_warc` takes a record table (a payload a row), :func:`write_chunks` the chunk table
+itself, so that a record larger than memory can be written as well: chunks come sorted by record, the last
+chunk first, as it has the length and the digest that the header states; no more than two chunks of a
+record are held. Records become WARC/1.1, one gzip member a record, one file a task, in a folder that
+must not hold WARC files already.
 
 The unit of reading is a file, not a byte range, since gzip members can't be found from the middle;
 write files of some 100 MB. Partitions of a written set are its files.
@@ -15,8 +18,10 @@ write files of some 100 MB. Partitions of a written set are its files.
 Defined cases: a null payload is written with length 0 and reads as one empty chunk with
 ``is_null`` true; an empty one as one empty chunk. A null id or URI is written without that header and
 reads as null. Records with equal ids stay separate records (``file`` and ``record_no`` tell them
-apart). Record types other than those asked for, and unknown headers, are passed over. A truncated or
-malformed record ends its file with one row whose ``error`` says where. An empty table writes no
+apart). Ids of any size are kept as they are. Record types other than those asked for, and unknown headers, are passed over. A truncated or
+malformed record (a header line above 1 MiB too) ends its file with one row whose ``error`` says where.
+Of a chunk table, a record that lacks chunks or has errors is an error of the write; repeated rows of a
+chunk are written once. An empty table writes no
 records and reads as no rows. Payloads may hold anything, header-like lines included.
 """
 
@@ -28,7 +33,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +79,9 @@ class _Stream:
     def line(self, most: int = 1 << 20) -> bytes | None:
         """The next line with its end; None at the end of the file."""
         while (i := self.buffer.find(b"\n")) < 0:
-            if len(self.buffer) > most or not self._fill():
+            if len(self.buffer) > most:
+                raise ValueError(f"header line above {most} bytes")
+            if not self._fill():
                 if not self.buffer:
                     return None
                 i = len(self.buffer) - 1
@@ -126,7 +133,7 @@ def records(raw, name: str, chunk_bytes: int, types: tuple[str, ...]) -> Iterato
                 sha1.update(part)
                 last = left == 0
                 if wanted:
-                    ok = declared == "sha1:" + base64.b32encode(sha1.digest()).decode() if last and declared else None
+                    ok = declared in ("sha1:" + base64.b32encode(sha1.digest()).decode(), "sha256:" + sha256.hexdigest()) if last and declared else None
                     yield (name, no, head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), int(source) if source else None, k, at, part, len(part), sha256.hexdigest(), last, ok, head.get("tallyframe-null") == "1", None)
                 at, k = at + len(part), k + 1
                 if last:
@@ -145,10 +152,15 @@ def read_warc(spark: SparkSession, path: str, *, chunk_bytes: int = CHUNK, types
     rows = [((scheme + p) if scheme else p,) for p in sorted(found)]
     files = spark.createDataFrame(rows, "path string").repartition(max(1, -(-len(rows) // files_per_task)), "path") if rows else spark.createDataFrame([], "path string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name in b["path"]:
+            for name in b.column("path").to_pylist():
                 system, at = _filesystem(name)
                 with system.open_input_stream(at, compression=None) as raw:
                     out, held = [], 0
@@ -156,54 +168,116 @@ def read_warc(spark: SparkSession, path: str, *, chunk_bytes: int = CHUNK, types
                         out.append(r)
                         held += r[9]
                         if held >= 8 << 20 or len(out) >= 10_000:
-                            yield pd.DataFrame(out, columns=names)
+                            yield batch(out)
                             out, held = [], 0
                     if out:
-                        yield pd.DataFrame(out, columns=names)
+                        yield batch(out)
 
-    return files.mapInPandas(run, SCHEMA)
+    return files.mapInArrow(run, SCHEMA)
 
 
-def write_warc(df: DataFrame, path: str, *, id_col: str, uri_col: str, payload_col: str, chunk_bytes: int = CHUNK) -> None:
-    """Write each row as a resource record; files are gzip, one for each task.
+def _head(kind: str, key, record: str, digest: str, length: int, uri: str | None, null: bool) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Block-Digest: {digest}", f"Content-Length: {length}"]
+    if uri is not None:
+        head.append("WARC-Target-URI: " + " ".join(uri.split()))
+    if key is not None:
+        head.append(f"Tallyframe-Source-ID: {key}")
+    if null:
+        head.append("Tallyframe-Null: 1")
+    return "\r\n".join(head).encode() + b"\r\n\r\n"
 
-    A task writes under a temporary name and renames, so a task that is run again leaves one file.
-    """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).cast("binary").alias("payload"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _write(rows: DataFrame, path: str, put) -> None:
+    """One file a task, written under a temporary name and renamed, so that a task that is run again
+    leaves one file; ``put(batches, out)`` writes the records and returns their number."""
+    from pyarrow import fs
+
+    system, at = _filesystem(path)
+    if any(f.path.endswith((".warc", ".warc.gz")) for f in system.get_file_info(fs.FileSelector(at, allow_not_found=True))):
+        raise ValueError(f"{path} holds WARC files already")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         t = TaskContext.get()
         system, at = _filesystem(path)
         system.create_dir(at, recursive=True)
         name = f"{at}/part-{t.partitionId():06d}.warc.gz"
-        temporary, n = f"{name}.{t.taskAttemptId()}.tmp", 0
+        temporary = f"{name}.{t.taskAttemptId()}.tmp"
         with system.open_output_stream(temporary, compression=None) as out:
-            for b in batches:
-                for i, uri, payload in zip(b["id"], b["uri"], b["payload"]):
-                    data = memoryview(payload if payload is not None else b"")
-                    sha1 = hashlib.sha1()
-                    for k in range(0, len(data), chunk_bytes):
-                        sha1.update(data[k : k + chunk_bytes])
-                    key = "" if pd.isna(i) else str(int(i))
-                    head = [b"WARC/1.1", b"WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {uri} {sha1.hexdigest()}')}>".encode(), b"WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Block-Digest: sha1:{base64.b32encode(sha1.digest()).decode()}".encode(), f"Content-Length: {len(data)}".encode()]
-                    if uri is not None:
-                        head.append(("WARC-Target-URI: " + " ".join(uri.split())).encode())
-                    if key:
-                        head.append(f"Tallyframe-Source-ID: {key}".encode())
-                    if payload is None:
-                        head.append(b"Tallyframe-Null: 1")
-                    z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    out.write(z.compress(b"\r\n".join(head) + b"\r\n\r\n"))
-                    for k in range(0, len(data), chunk_bytes):
-                        out.write(z.compress(data[k : k + chunk_bytes]))
-                    out.write(z.compress(b"\r\n\r\n") + z.flush())
-                    n += 1
+            n = put(batches, out)
         system.move(temporary, name)
-        yield pd.DataFrame({"file": [name], "records": [n]})
+        yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], ["file", "records"])
 
-    rows.mapInPandas(run, "file string, records long").write.mode("overwrite").format("noop").save()
+    rows.mapInArrow(run, "file string, records long").write.mode("overwrite").format("noop").save()
+
+
+def write_warc(df: DataFrame, path: str, *, id_col: str, uri_col: str, payload_col: str, chunk_bytes: int = CHUNK) -> None:
+    """Write each row as a resource record; files are gzip, one for each task."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).cast("binary").alias("payload"))
+
+    def put(batches: Iterator[pa.RecordBatch], out) -> int:
+        n = 0
+        for b in batches:
+            for i, uri, payload in zip(*b.columns):  # a row at a time becomes a Python object
+                i, uri = i.as_py(), uri.as_py()
+                data = memoryview(payload.as_buffer() if payload.is_valid else b"")
+                sha1 = hashlib.sha1()
+                for k in range(0, len(data), chunk_bytes):
+                    sha1.update(data[k : k + chunk_bytes])
+                record = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{'' if i is None else i} {uri} {sha1.hexdigest()}')}>"
+                z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                out.write(z.compress(_head("resource", i, record, f"sha1:{base64.b32encode(sha1.digest()).decode()}", len(data), uri, not payload.is_valid)))
+                for k in range(0, len(data), chunk_bytes):
+                    out.write(z.compress(data[k : k + chunk_bytes]))
+                out.write(z.compress(b"\r\n\r\n") + z.flush())
+                n += 1
+        return n
+
+    _write(rows, path, put)
+
+
+def write_chunks(chunks: DataFrame, path: str) -> None:
+    """Write a chunk table as :func:`read_warc` gives it; the record's digest is its SHA-256."""
+    keys = ["file", "record_no"]
+    rows = chunks.dropDuplicates([*keys, "chunk_no"]).repartition(*keys).sortWithinPartitions(*keys, F.desc("is_last"), "chunk_no")
+    rows = rows.select(*keys, "record_id", "record_type", "target_uri", "source_id", "chunk_no", "chunk_offset", "chunk", "digest_so_far", "is_last", "is_null", "error")
+
+    def put(batches: Iterator[pa.RecordBatch], out) -> int:
+        n, now, last, z, at, sha = 0, None, None, None, 0, None
+
+        def end() -> None:
+            if now is None:
+                return
+            if at != last["chunk_offset"]:
+                raise ValueError(f"record {now} lacks chunks")
+            sha.update(last["chunk"])
+            if sha.hexdigest() != last["digest_so_far"]:
+                raise ValueError(f"record {now}: the chunks don't have the digest of the last row")
+            out.write(z.compress(last["chunk"]) + z.compress(b"\r\n\r\n") + z.flush())
+
+        for b in batches:
+            for k in range(b.num_rows):
+                r = b.slice(k, 1).to_pylist()[0]
+                key = r["file"], r["record_no"]
+                if key != now:
+                    end()
+                    if r["error"] is not None or not r["is_last"]:
+                        raise ValueError(f"record {key} has no last chunk: {r['error']}")
+                    now, last, at, sha, n = key, r, 0, hashlib.sha256(), n + 1
+                    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    record = r["record_id"] or f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key} {r['digest_so_far']}')}>"
+                    out.write(z.compress(_head(r["record_type"] or "resource", r["source_id"], record, f"sha256:{r['digest_so_far']}", r["chunk_offset"] + len(r["chunk"]), r["target_uri"], bool(r["is_null"]))))
+                else:
+                    if at != r["chunk_offset"]:
+                        raise ValueError(f"record {key} lacks chunks")
+                    at += len(r["chunk"])
+                    sha.update(r["chunk"])
+                    out.write(z.compress(r["chunk"]))
+        end()
+        return n
+
+    _write(rows, path, put)
 
 
 def pages_through_warc(pages: DataFrame, *, chunk_bytes: int = CHUNK) -> DataFrame:
