@@ -9,7 +9,8 @@ successive prefix of a conversation's turns, and each output compared with the o
   to the tail before);
 * ``rewrite``: the template changed what it had written for earlier turns. The span is what differs from
   the common beginning on, and no earlier span of that conversation is valid any more;
-* ``error``: the template raised on this prefix; no span, and the text has no output for the turn.
+* ``error``: the template raised on this prefix; no span. Where the next prefix renders again, its turn's
+  span holds what the failed turns added as well.
 
 ``valid`` says whether the span still holds in the rendering of the whole conversation.
 
@@ -20,7 +21,8 @@ which is the price of a template that can't be looked into.
 Defined cases: a null role or text renders as an empty string; an empty text has a span as well (the
 template's own marks). Turns are ordered by turn (null last), then role, then text; equal turns and
 repeated rows are turns of their own. Rows with a null conversation id are one conversation each.
-An empty table gives no rows. Offsets count characters. Other columns are ignored.
+An empty table gives no rows. Offsets count characters. Ids and
+turn numbers of any size are kept as they are (they travel as text). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,26 +104,25 @@ def chat_spans(turns: DataFrame, template: Template = chatml, *, id_col: str = "
     ``rendered`` is the span in the whole conversation's rendering (null if it isn't valid).
     """
     kind = turns.schema[id_col].dataType.simpleString()
-    src = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    src = turns.select(F.col(id_col).cast("string").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
     names = ["conv_id", "turn", "role", "span_start", "span_end", "status", "valid", "rendered"]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         f = pd.DataFrame(rows, columns=names)
-        for c in ("turn", "span_start", "span_end", *(["conv_id"] if kind in ("bigint", "int") else [])):
+        for c in ("span_start", "span_end"):
             f[c] = f[c].astype("Int64")
         return f
 
     def finish(conv, turn: list, role: list, text: list) -> list[tuple]:
         messages = [{"role": r if r is not None else "", "content": x if x is not None else ""} for r, x in zip(role, text)]
         spans, whole = locate(messages, template)
-        return [(conv, None if pd.isna(t) else int(t), r, s, e, how, ok, whole[s:e] if ok else None) for t, r, (s, e, how, ok) in zip(turn, role, spans)]
+        return [(conv, t, r, s, e, how, ok, whole[s:e] if ok else None) for t, r, (s, e, how, ok) in zip(turn, role, spans)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, turn, role, text = None, [], [], []
         for b in batches:
             out: list[tuple] = []
             for c, t, r, x in zip(b["conv_id"], b["turn"], b["role"], b["text"]):
-                c = None if pd.isna(c) else c
                 if turn and (c is None or c != now):
                     out += finish(now, turn, role, text)
                     turn, role, text = [], [], []
@@ -135,7 +136,9 @@ def chat_spans(turns: DataFrame, template: Template = chatml, *, id_col: str = "
 
     order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
     spread = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")).otherwise(F.xxhash64("conv_id"))
-    return src.repartition(spread).sortWithinPartitions(*order).mapInPandas(run, f"conv_id {kind}, turn long, role string, span_start long, span_end long, status string, valid boolean, rendered string")
+    sorted_ = src.repartition(spread).sortWithinPartitions(*order).withColumn("turn", F.col("turn").cast("string"))
+    spans = sorted_.mapInPandas(run, "conv_id string, turn string, role string, span_start long, span_end long, status string, valid boolean, rendered string")
+    return spans.withColumns({"conv_id": F.col("conv_id").cast(kind), "turn": F.col("turn").cast("long")})
 
 
 ORACLE = """

@@ -13,7 +13,8 @@ needs another's stack. Both sides may be of any size; nothing but the bounds is
 
 Defined cases: a null URL or one without ``scheme://host`` has a null key, matches no rule and takes
 the default action. Case of scheme and host, user info, port, trailing dots and the fragment don't count.
-Rules with equal prefixes: the smallest rule id is innermost. A null or empty pattern covers nothing.
+Rules with equal prefixes: the smallest rule id is innermost. A rule whose id or pattern is null, or whose
+pattern is empty, covers nothing. Ids of any size are kept as they are (they travel as text).
 An empty rule table leaves all URLs to the default. Repeated rows are each returned. Other
 columns are ignored.
 """
@@ -84,13 +85,13 @@ def url_filter(urls: DataFrame, rules: DataFrame, *, id_col: str = "page_id", ur
     def meets(prefix: pd.Series) -> pd.Series:
         return pd.Series([list(range(bisect_right(bounds, p), bisect_right(bounds, p + "\U0010ffff") + 1)) for p in prefix])
 
-    r = rules.select(F.col("rule_id").cast("long").alias("rule_id"), rule_prefix(F.col("pattern").cast("string")).alias("key"), F.col("action").cast("string").alias("action")).where("key is not null").dropDuplicates()
+    r = rules.select(F.col("rule_id").cast("long").alias("rule_id"), rule_prefix(F.col("pattern").cast("string")).alias("key"), F.col("action").cast("string").alias("action")).where("key is not null and rule_id is not null").dropDuplicates()
     none = F.lit(None)
-    right = r.select(F.explode(meets("key")).alias("part"), "key", F.lit(0).alias("kind"), (-F.col("rule_id")).alias("tie"), none.cast(kind).alias("page_id"), none.cast("string").alias("url"), "rule_id", "action")
-    found = left.where("key is not null").select(place("key").alias("part"), "key", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("tie"), "page_id", "url", none.cast("long").alias("rule_id"), none.cast("string").alias("action"))
+    right = r.select(F.explode(meets("key")).alias("part"), "key", F.lit(0).alias("kind"), (-F.col("rule_id")).alias("tie"), none.cast("string").alias("page_id"), none.cast("string").alias("url"), F.col("rule_id").cast("string").alias("rule_id"), "action")
+    found = left.where("key is not null").select(place("key").alias("part"), "key", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("tie"), F.col("page_id").cast("string").alias("page_id"), "url", none.cast("string").alias("rule_id"), none.cast("string").alias("action"))
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stack: list[tuple[str, int, str]] = []
+        stack: list[tuple[str, str, str]] = []
         at = None
         for b in batches:
             out = []
@@ -103,15 +104,12 @@ def url_filter(urls: DataFrame, rules: DataFrame, *, id_col: str = "page_id", ur
                     top = stack[-1] if stack else (None, None, default)
                     out.append((page, url, top[1], top[2], len(stack)))
                 else:
-                    stack.append((key, int(rule), action))
-            frame = pd.DataFrame(out, columns=["page_id", "url", "rule_id", "action", "covering"])
-            frame["rule_id"] = frame["rule_id"].astype("Int64")
-            if kind in ("bigint", "int"):
-                frame["page_id"] = frame["page_id"].astype("Int64")
-            yield frame
+                    stack.append((key, rule, action))
+            yield pd.DataFrame(out, columns=["page_id", "url", "rule_id", "action", "covering"])
 
     order = ("part", "key", "kind", "tie")
-    swept = found.unionByName(right).repartition(parts, "part").sortWithinPartitions(*order).mapInPandas(sweep, f"page_id {kind}, url string, rule_id long, action string, covering int")
+    swept = found.unionByName(right).repartitionById(parts, F.col("part")).sortWithinPartitions(*order).mapInPandas(sweep, "page_id string, url string, rule_id string, action string, covering int")
+    swept = swept.select(F.col("page_id").cast(kind).alias("page_id"), "url", F.col("rule_id").cast("long").alias("rule_id"), "action", "covering")
     keyless = left.where("key is null").select("page_id", "url", none.cast("long").alias("rule_id"), F.lit(default).alias("action"), F.lit(0).alias("covering"))
     return swept.unionByName(keyless)
 
