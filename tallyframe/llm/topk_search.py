@@ -17,7 +17,8 @@ exactly from their term frequencies. The shards' k best are then merged.
 Collection statistics (document count, average length, document frequencies) are exact counts over
 all documents; only the vocabulary of the query batch is indexed, since no other posting is ever
 read. The vocabulary is broadcast; its size is that of the query table, checked against
-``max_vocabulary`` (beyond it queries are run in several batches of terms, with the same result).
+``max_vocabulary``: queries with more distinct terms than that are run in several batches, each with its
+own scan of the documents and the same result.
 
 Defined cases: a query or document that is null, empty or without a letter or digit matches nothing.
 A term that no document has adds nothing. Repeated terms of a query count as often as they
@@ -31,6 +32,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -145,12 +147,24 @@ def _forward(vocabulary):
 
 def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, levels: int = 64, max_vocabulary: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """Rows (query_id, rank, doc_id, score), score in BM25 units, rank from 1."""
-    spark = docs.sparkSession
     asked = [(r[0], tokens(r[1])) for r in queries.select(F.col(query_id).cast("long"), F.col(query_text).cast("string")).distinct().orderBy(query_id, query_text).collect()]
     asked = [(i, ws) for i, ws in asked if ws and i is not None]
+    batches: list[list[tuple[int, list[str]]]] = [[]]
+    held: set[str] = set()
+    for i, ws in asked:
+        if batches[-1] and len(held | set(ws)) > max_vocabulary:
+            batches.append([])
+            held = set()
+        batches[-1].append((i, ws))
+        held |= set(ws)
+    found = [_batch(docs, batch, k, levels, id_col, text_col) for batch in batches]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _batch(docs: DataFrame, asked: list[tuple[int, list[str]]], k: int, levels: int, id_col: str, text_col: str) -> DataFrame:
+    """The k best documents for each of the queries, whose terms are broadcast."""
+    spark = docs.sparkSession
     number = {w: n for n, w in enumerate(sorted({w for _, ws in asked for w in ws}))}
-    if len(number) > max_vocabulary:
-        raise ValueError(f"{len(number)} query terms; split the query table ({max_vocabulary} at most)")
     vocabulary = spark.sparkContext.broadcast(number)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     forward = written(source.mapInPandas(_forward(vocabulary), "id long, length int, terms array<int>, tfs array<int>"), "forward-index")
