@@ -1,15 +1,21 @@
 """A training corpus from the documents table: four stages, each written and read again.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the
-columns of documents; the last returns the sequences' contents.
+columns of documents; the last returns the sequences of token ids with the documents' places in them.
+
+Defined cases: a null or empty text passes the first three stages and is in no sequence. A document
+with a null id passes them as well, and its id in ``doc_ids`` is null. Rows equal in id and text become one at line
+dedup, further rows of an id at the n-gram join. An empty table gives an empty result. Other columns are
+carried along to the last stage, which has its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import line_dedup, ngram_join, packing, toxicity
+from tallyframe.llm import bpe, line_dedup, ngram_join, packing, toxicity
 from tallyframe.llm.common import new_path, table
+from tallyframe.llm.queries import vocabulary_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in sequences of 2,048 words."""
-    return packing.pack(docs, capacity=2048)
+    """Sequences of 2,048 token ids: their tokens, and the documents in them with their boundaries."""
+    ids = bpe.encode(docs.select("doc_id", "text"), bpe.Vocabulary(spark, vocabulary_path()))
+    return packing.pack_sequences(ids, capacity=2048)
 
 
 STAGES = [

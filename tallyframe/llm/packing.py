@@ -19,14 +19,14 @@ into full pieces and a rest; every piece is packed.
 
 Defined cases: a null or empty text (size null or 0) has one row with length 0 and no bin (null).
 Rows with one id are separate documents. A negative size counts as 0. Ties of equal size are
-ordered by id, then piece. An empty table gives no rows. Other columns are ignored.
+ordered by id, then piece. An empty table gives no rows. Ids of any size and type are kept as they are.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,8 +37,9 @@ from pyspark.sql.window import Window
 
 from tallyframe.llm.common import written
 
-#: Parts that a size is split in for ranking, so that one frequent size isn't one task.
-SPREAD = 32
+#: Parts that a size is split in for ranking, so that one frequent size isn't one task: so many at least,
+#: and one for each so many pieces.
+SPREAD, PIECES = 32, 4_000_000
 
 
 @dataclass
@@ -209,37 +210,58 @@ def word_count(text: Column) -> Column:
     return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
 
 
+def _cut(n: Column, capacity: int) -> Column:
+    """Numbers of the pieces of a document of ``n`` tokens; an empty one has piece 0."""
+    return F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(n / capacity) - 1).cast("long"))
+
+
 def pack(docs: DataFrame, *, capacity: int = 2048, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, piece, start, length, bin_id, bin_offset), one for each piece."""
     n = (size if size is not None else word_count(F.col(text_col).cast("string"))).cast("long")
     sized = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).alias("n"))
-    cut = sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("n") / capacity) - 1).cast("long"))).alias("piece"))
+    cut = sized.select("doc_id", "n", F.explode(_cut(F.col("n"), capacity)).alias("piece"))
     pieces = cut.select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("length"))
-    pieces = written(pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SPREAD)).cast("int")), "pieces")
-    # at most capacity * SPREAD rows, whatever the corpus
+    pieces = written(pieces, "pieces")
+    parts = max(SPREAD, -(-pieces.count() // PIECES))
+    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
+    # at most capacity * parts rows: 16 bytes for each of 4 million pieces and size
     counts = pieces.where("length > 0").groupBy("length", "part").count().orderBy("length", "part").toPandas()
     plan = plan_bins(counts.groupby("length")["count"].sum().astype(int).to_dict(), capacity)
     slots = _slots(plan)
     before = counts.groupby("length")["count"].cumsum() - counts["count"]
-    base = np.zeros((capacity + 1, SPREAD), dtype=np.int64)
+    base = np.zeros((capacity + 1, parts), dtype=np.int64)
     base[counts["length"].to_numpy(dtype=int), counts["part"].to_numpy(dtype=int)] = before.to_numpy(dtype=np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((slots, base))
     spread = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
     ranked = pieces.where("length > 0").withColumn("rank", F.row_number().over(spread))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("bin_id long, bin_offset long")
+    def place(length: pd.Series, part: pd.Series, rank: pd.Series) -> pd.DataFrame:
         slots, base = shared.value
-        for b in batches:
-            s = b["length"].to_numpy(dtype=np.int64)
-            rank = base[s, b["part"].to_numpy(dtype=np.int64)] + b["rank"].to_numpy(dtype=np.int64) - 1
-            i = np.searchsorted(slots["key"], s * (1 << 44) + rank, side="right") - 1
-            nth = rank - slots["rank"][i]
-            out = b[["doc_id", "piece", "start", "length"]].copy()
-            out["bin_id"] = slots["bin"][i] + nth // slots["copies"][i]
-            out["bin_offset"] = slots["offset"][i] + (nth % slots["copies"][i]) * s
-            yield out
-
-    kind = f"doc_id {docs.schema[id_col].dataType.simpleString()}, piece long, start long, length long, bin_id long, bin_offset long"
-    placed = ranked.select(F.col("doc_id"), "piece", "start", "length", "part", "rank").mapInPandas(place, kind)
+        s = length.to_numpy(dtype=np.int64)
+        at = base[s, part.to_numpy(dtype=np.int64)] + rank.to_numpy(dtype=np.int64) - 1
+        i = np.searchsorted(slots["key"], s * (1 << 44) + at, side="right") - 1
+        nth = at - slots["rank"][i]
+        return pd.DataFrame({"bin_id": slots["bin"][i] + nth // slots["copies"][i], "bin_offset": slots["offset"][i] + (nth % slots["copies"][i]) * s})
+
+    placed = ranked.select("doc_id", "piece", "start", "length", place("length", "part", "rank").alias("at")).select("doc_id", "piece", "start", "length", "at.bin_id", "at.bin_offset")
     empty = pieces.where("length = 0").select("doc_id", "piece", "start", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_offset"))
     return placed.unionByName(empty)
+
+
+def pack_sequences(docs: DataFrame, *, capacity: int = 2048, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """The sequences themselves, from token ids: rows (bin_id, doc_ids, starts, offsets, lengths, tokens).
+
+    ``tokens`` are the bin's ids, ``capacity`` at most; the k-th piece in it is of document ``doc_ids[k]``,
+    from that document's token ``starts[k]`` on, and is at ``offsets[k]``, ``lengths[k]`` long. Documents
+    without tokens are in no sequence.
+    """
+    ids = F.col(f"`{ids_col}`")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), ids.alias("ids")).where(F.size("ids") > 0)
+    cut = rows.select("row", "doc_id", "ids", F.explode(_cut(F.size("ids"), capacity)).alias("piece"))
+    cut = written(cut.select("row", "doc_id", "piece", F.slice("ids", (F.col("piece") * capacity).cast("int") + 1, capacity).alias("tokens")), "token-pieces")
+    whole = cut.groupBy("row").agg(F.sum(F.size("tokens")).alias("n"))
+    places = pack(whole, capacity=capacity, size=F.col("n"), id_col="row").withColumnRenamed("doc_id", "row")
+    piece = F.struct("bin_offset", "doc_id", "start", "length", "tokens")
+    bins = cut.join(places, ["row", "piece"]).groupBy("bin_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    return bins.select("bin_id", F.col("p.doc_id").alias("doc_ids"), F.col("p.start").alias("starts"), F.col("p.bin_offset").alias("offsets"), F.col("p.length").alias("lengths"), F.flatten("p.tokens").alias("tokens"))

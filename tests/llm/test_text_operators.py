@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from tallyframe.llm import line_dedup, ngram_join, packing, toxicity
+from tallyframe.llm import bpe, line_dedup, ngram_join, packing, toxicity
+from tallyframe.llm.queries import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, line long, root string, lines string"
 
@@ -67,6 +70,38 @@ def test_toxicity_edges(spark):
     assert toxicity.without_toxic(d.limit(0), model).count() == 0
     labels = spark.createDataFrame([(4, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     assert toxicity.train(d, labels).gain == 0
+    named = toxicity.toxicity_score(d.withColumn("toxicity", F.lit("mine")), model)
+    assert named.columns == [*d.columns, "toxicity"] and {r["toxicity"]["toxic"] for r in named.collect()} == {True, False}
+
+
+def test_toxicity_ids_of_any_type(spark):
+    rows = toxic_rows(random.Random(13))
+    d = spark.createDataFrame([(f"id-{i}", t) for i, t, _ in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"id-{i}", y) for i, _, y in rows], "doc_id string, toxic int")
+    model = toxicity.train(d, labels)
+    assert model.gain and toxicity.without_toxic(d, model).count() < len(rows)
+
+
+def test_toxicity_score_against_recompression(spark):
+    """Every window compressed anew, without the memory of words, and the rule written out."""
+    import zstandard as zstd
+
+    rows = toxic_rows(random.Random(14), 300)
+    model = toxicity.fit(rows)
+
+    def size(content, window):
+        d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        p = zstd.ZstdCompressionParameters.from_level(model.level, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return len(zstd.ZstdCompressor(compression_params=p, dict_data=d).compress(window))
+
+    some = rows[:12]
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.toxicity_score(docs(spark, [(i, t) for i, t, _ in some]), model).collect()}
+    for i, t, _ in some:
+        windows = [f" {w} ".encode() + toxicity.CARRIER for w in t.lower().split()]
+        hits = [size(model.ordinary, w) - size(model.toxic, w) >= model.gain for w in windows]
+        runs = max(sum(hits[k : k + toxicity.RUN]) for k in range(len(hits)))
+        assert (got[i]["windows"], got[i]["toxic_windows"]) == (len(windows), sum(hits))
+        assert got[i]["toxic"] == (any(hits) and (sum(hits) / len(hits) > model.share or runs > model.local))
 
 
 # --- line dedup ----------------------------------------------------------------------------------
@@ -110,12 +145,35 @@ def test_line_dedup(spark):
 def test_line_dedup_repeated_rows_and_empty_table(spark):
     a = "one line that is long enough to count\nanother line that is long enough"
     got = line_dedup.line_dedup(docs(spark, [(1, a), (1, a), (1, "a different text under the same id")]))
-    assert sorted(r["text"] for r in got.collect()) == sorted([a, a, "a different text under the same id"])
+    assert sorted(r["text"] for r in got.collect()) == sorted([a, "a different text under the same id"])
+    nulls = line_dedup.line_dedup(docs(spark, [(None, a), (None, a), (2, None), (2, None), (3, ""), (4, "")]))
+    assert sorted([(r["doc_id"], r["text"]) for r in nulls.collect()], key=str) == sorted([(None, a), (2, None), (3, ""), (4, "")], key=str)
     assert line_dedup.line_dedup(docs(spark, [(1, a)]).limit(0)).count() == 0
     long = "\n".join(f"line number {k} of a very long text" for k in range(30_000))
     assert line_dedup.line_dedup(docs(spark, [(1, long), (2, long)])).count() == 1
 
 
+def test_line_dedup_leaves_other_columns_and_the_catalogue_alone(spark):
+    d = docs(spark, [(1, "one line that is long enough to count"), (2, "one line that is long enough to count\nand another one that stays here")])
+    text = d.withColumn("n_chars", F.lit("many"))
+    got = line_dedup.line_dedup(text)
+    assert got.schema == text.schema and {r["n_chars"] for r in got.collect()} == {"many"}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_saved_runs_take_another_batch(spark, tmp_path):
+    runs = line_dedup.LineRuns(spark, fanout=3)
+    runs.add(docs(spark, [(1, "this is a line of batch number one\nthis line is in every batch")]))
+    runs.add(docs(spark, [(2, "this is a line of batch number two\nthis line is in every batch")]))
+    runs.save(f"{tmp_path}/runs")
+    runs.close()
+    later = line_dedup.LineRuns.open(spark, f"{tmp_path}/runs")
+    assert [len(x) for x in later.levels] == [2]
+    new = later.add(docs(spark, [(3, "this line is in every batch\nthis is a line of batch number three")]))
+    assert later.positions().count() == 4 and [len(x) for x in later.levels] == [0, 1]
+    later.close()
+
+
 def test_runs_are_levelled(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     for k in range(4):
@@ -202,6 +260,29 @@ def test_signature_trees_never_drop_a_pair():
     assert want <= seen and len(seen) < len(sets) * (len(sets) - 1) / 4
 
 
+def test_sketch_bound_misses_one_pair_in_thousands():
+    """Pairs right at the threshold, against the bound that the query uses."""
+    import numpy as np
+
+    rng, need, seen = np.random.default_rng(6), ngram_join.Need(0.6, 32), 0
+    assert [int(need.least[k]) for k in (0, 1, 32)] == [0, 0, 9] or int(need.least[32]) in (8, 9)
+    for _ in range(3000):
+        n = int(rng.integers(40, 400))
+        pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        over = int(np.ceil(1.2 * n / 1.6))
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:over], pool[n : 2 * n - over])))
+        seen += ngram_join._quick(n, n, *(ngram_join.bitmap(x[:32], ngram_join.SKETCH_BITS) for x in (a, b)), need)
+    assert seen >= 2997
+
+
+def test_ngram_join_of_ids_with_two_texts(spark):
+    rng = random.Random(15)
+    a, b = words(rng, 60, 5000), words(rng, 60, 5000)
+    rows = [(1, a), (2, a), (2, b), (3, b + " more"), (9007199254740993, words(rng, 50, 5000)), (None, a)]
+    got = {r["doc_id"]: (r["group_id"], r["partner_id"]) for r in ngram_join.ngram_jaccard_join(docs(spark, rows)).collect()}
+    assert got == {1: (1, 2), 2: (1, 1), 3: (1, 2)}
+
+
 def test_ngram_join_edges(spark):
     long = " ".join(f"w{k}" for k in range(60_000))
     rows = [(1, None), (2, ""), (3, "... !!"), (4, "one"), (5, "One!"), (6, long), (7, long + " more"), (None, "one"), (8, "two words"), (8, "two words")]
@@ -306,6 +387,24 @@ def test_pack_edges(spark):
     assert packing.pack(docs(spark, rows).limit(0), capacity=10).count() == 0
 
 
+def test_pack_sequences(spark):
+    rng = random.Random(16)
+    rows = [(i if i % 9 else None, [rng.randrange(1000) for _ in range(rng.choice([0, 1, 7, 64, 65, 200]))]) for i in range(120)] + [(5, [1, 2, 3]), (5, [1, 2, 3]), (9007199254740993, [4] * 10), (7, None)]
+    d = spark.createDataFrame([(i, x, "t", 1) for i, x in rows], "doc_id long, ids array<int>, tokens string, row int")
+    got = packing.pack_sequences(d, capacity=64).collect()
+    pieces = []
+    for r in got:
+        assert len(r["tokens"]) <= 64 and sum(r["lengths"]) == len(r["tokens"])
+        at = 0
+        for i, start, offset, length in zip(r["doc_ids"], r["starts"], r["offsets"], r["lengths"]):
+            assert offset == at
+            pieces.append((str(i), start, tuple(r["tokens"][at : at + length])))
+            at += length
+    want = [(str(i), k, tuple(x[k : k + 64])) for i, x in rows for k in range(0, len(x or []), 64)]
+    assert sorted(pieces) == sorted(want) and sorted(r["bin_id"] for r in got) == list(range(len(got)))
+    assert packing.pack_sequences(d.limit(0)).count() == 0
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 
@@ -320,9 +419,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     gain = toxicity.WindowGain(*model.compressors())
     clean = []
     for i, t in rows:
-        ws = toxicity.words(t)
-        hits = sum(gain(w) >= model.gain for w in ws)
-        if not (hits and hits / len(ws) > model.share):
+        hits = [gain(w) >= model.gain for w in toxicity.words(t)]
+        runs = max((sum(hits[k : k + toxicity.RUN]) for k in range(len(hits))), default=0)
+        if not (any(hits) and (sum(hits) / len(hits) > model.share or runs > model.local)):
             clean.append((i, t))
     lines = brute_lines(clean)
     from tallyframe.llm.components import Forest
@@ -330,6 +429,29 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     f = Forest()
     for a, b in brute_pairs(lines):
         f.union(a, b)
-    kept = [(i, t) for i, t in lines if f.find(i) == i]
-    check_packed(got, {i: len(t.split()) for i, t in kept if t and t.split()}, 2048)
-    assert {r["doc_id"] for r in got} == {i for i, _ in kept}
+    kept = {i: t for i, t in lines if f.find(i) == i}
+    check_sequences(got, kept)
+
+
+def check_sequences(got, kept):
+    """Every document's ids are in the sequences once, in order."""
+    ranks = bpe.read_ranks(vocabulary_path())
+    coder = bpe.ByteBPE(bpe.sentencepiece_model(ranks), sorted(ranks, key=ranks.__getitem__))
+    back = {}
+    for r in got:
+        assert len(r["tokens"]) <= 2048 and sum(r["lengths"]) == len(r["tokens"])
+        for i, start, offset, length in zip(r["doc_ids"], r["starts"], r["offsets"], r["lengths"]):
+            back.setdefault(i, []).append((start, r["tokens"][offset : offset + length]))
+    text = {i: coder.decode([x for _, part in sorted(p) for x in part]) for i, p in back.items()}
+    assert text == {i: t for i, t in kept.items() if t}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns, very long texts; and an empty table."""
+    long = "\n".join(f"line number {k} of one very long text" for k in range(20_000))
+    rows = [(None, "a text without an id that is kept"), (1, None), (2, ""), (3, long), (4, "the same row twice in the table"), (4, "the same row twice in the table"), (5, "another text that stands for itself")]
+    for name, some in (("rows", rows), ("none", [])):
+        docs(spark, some).withColumn("toxicity", F.lit(1)).withColumn("tokens", F.lit("t")).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    check_sequences(corpus_pipeline.run(spark, f"{tmp_path}/rows").collect(), {i: t for i, t in rows})
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
