@@ -180,5 +180,6 @@ def sql(query: str, *names: str) -> str:
         add(n)
     if not order:
         return query
-    head = "WITH " + ",\n".join(f"{n} AS ({SQL[n][0]})" for n in order)
+    # materialised: each expression is computed once, however often it is used
+    head = "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({SQL[n][0]})" for n in order)
     return head + (",\n" + query[5:] if query.startswith("WITH ") else "\n" + query)
