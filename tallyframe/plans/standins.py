@@ -27,19 +27,22 @@ def games0(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def poss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Possessions in the shape of the reconstruction's output."""
+def _poss0(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (F.row_number().over(w) - 1).alias("rn"))
-    j = li.join(games0(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
-    home = "(l_suppkey + l_linenumber) % 2 = 0"
+    return li.withColumns({"home": F.expr("(l_suppkey + l_linenumber) % 2 = 0"), "points": F.expr("cast(cast(l_quantity as int) % 4 as int)")})
+
+
+def poss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Possessions in the shape of the reconstruction's output."""
+    j = _poss0(spark, sf_dir).join(games0(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(
         "game_id", "season",
         F.expr("cast(rn div 3 + 1 as int)").alias("period"),
         F.expr("cast(rn % 3 + 1 as int)").alias("possession_number"),
-        F.expr(f"case when {home} then home_team_id else away_team_id end").alias("offense_team_id"),
-        F.expr(f"case when {home} then away_team_id else home_team_id end").alias("defense_team_id"),
-        F.expr("cast(cast(l_quantity as int) % 4 as int)").alias("points"),
+        F.expr("case when home then home_team_id else away_team_id end").alias("offense_team_id"),
+        F.expr("case when home then away_team_id else home_team_id end").alias("defense_team_id"),
+        "points",
         F.expr("cast((rn % 3) * 80.0 + l_quantity as double)").alias("start_seconds"),
         F.expr("cast((rn % 3) * 80.0 + l_quantity + 24.0 as double)").alias("end_seconds"),
         F.expr("array_sort(transform(sequence(0, case when l_partkey % 50 = 0 then 3 else 4 end), k -> (l_partkey * 7 + k * 13) % 300 + 1))").alias("offense_five"),
@@ -51,10 +54,10 @@ def poss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Games with final scores; one in 97 has a point too many."""
-    p = poss(spark, sf_dir).groupBy("game_id", F.col("offense_team_id").alias("t")).agg(F.sum("points").alias("pts"))
-    g = games0(spark, sf_dir)
-    side = lambda s, name: p.select("game_id", F.col("t").alias(f"{s}_team_id"), F.col("pts").alias(name))
-    j = g.join(side("home", "hp"), ["game_id", "home_team_id"], "left").join(side("away", "ap"), ["game_id", "away_team_id"], "left")
+    side = lambda home: F.sum(F.when(F.col("home") == home, F.col("points")).otherwise(0))
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.expr("(l_suppkey + l_linenumber) % 2 = 0").alias("home"), F.expr("cast(l_quantity as int) % 4").alias("points"))
+    p = li.groupBy("l_orderkey").agg(side(True).alias("hp"), side(False).alias("ap"))
+    j = games0(spark, sf_dir).join(p, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return j.select("game_id", "season", "home_team_id", "away_team_id", "game_date", F.expr("cast(coalesce(hp, 0) + case when o_orderkey % 97 = 0 then 1 else 0 end as int)").alias("home_final_score"), F.expr("cast(coalesce(ap, 0) as int)").alias("away_final_score"))
 
 
@@ -65,14 +68,23 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stint rows a possession."""
-    p = poss(spark, sf_dir)
+    return stints_of(poss(spark, sf_dir))
+
+
+def stints_of(p: DataFrame) -> DataFrame:
+    """The stints of given possessions."""
     row = lambda t, five: F.struct(F.col(t).alias("team_id"), F.col(five).alias("five"))
     return p.select("game_id", "season", "period", F.explode(F.array(row("offense_team_id", "offense_five"), row("defense_team_id", "defense_five"))).alias("x"), F.expr("end_seconds - start_seconds + points").alias("seconds")).select("game_id", "season", "period", "x.team_id", "x.five", "seconds")
 
 
 def box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Player box rows: what the stints give, with some noise."""
-    s = stints(spark, sf_dir).select("game_id", "team_id", F.explode("five").alias("person_id"), "seconds")
+    return box_of(stints(spark, sf_dir))
+
+
+def box_of(rows: DataFrame) -> DataFrame:
+    """The box of given stints."""
+    s = rows.select("game_id", "team_id", F.explode("five").alias("person_id"), "seconds")
     g = s.groupBy("game_id", "team_id", "person_id").agg(F.sum("seconds").alias("seconds"), F.count("*").alias("n"))
     return g.select("game_id", "team_id", "person_id", F.expr("concat('P', cast(person_id as string))").alias("player_name"), F.expr("cast(case when person_id % 23 = 0 then 0 else seconds + person_id % 7 * 12 end as int)").alias("box_seconds"), F.expr("cast(n * 3 as int)").alias("fga"), F.expr("cast(person_id % 5 as int)").alias("fta"), F.expr("cast(person_id % 3 as int)").alias("oreb"), F.expr("cast(person_id % 4 as int)").alias("tov"))
 
