@@ -56,9 +56,10 @@ def action_log(raw: DataFrame) -> DataFrame:
 def with_and_one(log: DataFrame) -> DataFrame:
     """EVT07, WIN12: flags a made shot whose next event, neutral ones aside, is a regular free throw
     by the same team."""
-    after = Window.partitionBy("game_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    # backwards, so that a row's frame grows by one: forwards Spark would read on to the game's end from every row
+    after = Window.partitionBy("game_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     real = F.when(~F.col("event").isin(*X.NEUTRAL), F.struct("event", "team_id", F.coalesce("ft_kind", F.lit("regular")).alias("kind")))
-    nxt = F.first(real, ignorenulls=True).over(after)
+    nxt = F.last(real, ignorenulls=True).over(after)
     return log.withColumn("nxt", nxt).withColumn("and_one", F.coalesce((F.col("event") == "made_shot") & (F.col("nxt.event") == "free_throw") & F.col("nxt.team_id").eqNullSafe(F.col("team_id")) & (F.col("nxt.kind") == "regular"), F.lit(False))).drop("nxt")
 
 
@@ -74,13 +75,14 @@ def possessions(log: DataFrame) -> DataFrame:
     """
     game = Window.partitionBy("game_id").orderBy("ord")
     period = Window.partitionBy("game_id", "period").orderBy("ord")
+    back = Window.partitionBy("game_id", "period").orderBy(F.desc("ord"))
     technical = (F.col("event") == "free_throw") & (F.col("ft_kind") == "technical")
     owning = F.col("event").isin("made_shot", "missed_shot", "turnover", "rebound") | ((F.col("event") == "free_throw") & ~technical)
     closes = ((F.col("event") == "made_shot") & ~F.col("and_one")) | (F.col("event").isin("turnover", "period_end")) | ((F.col("event") == "free_throw") & (F.col("ft_kind") == "regular") & F.coalesce("made", F.lit(False)) & (F.col("ft_index") == F.col("ft_total")))
     e = with_and_one(log).select("*", F.coalesce(owning, F.lit(False)).alias("owning"), F.coalesce(technical, F.lit(False)).alias("technical"), F.coalesce(closes, F.lit(False)).alias("closes"))
     last_of_period = F.last("seconds").over(period.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     mark = F.when(F.col("owning") | (F.col("event") == "period_end"), F.struct("team_id", "closes", "seconds", "owning"))
-    e = e.select("*", F.last(mark, ignorenulls=True).over(period.rowsBetween(Window.unboundedPreceding, -1)).alias("prev"), F.first(mark, ignorenulls=True).over(period.rowsBetween(1, Window.unboundedFollowing)).alias("following"), last_of_period.alias("period_last"))
+    e = e.select("*", F.last(mark, ignorenulls=True).over(period.rowsBetween(Window.unboundedPreceding, -1)).alias("prev"), F.last(mark, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("following"), last_of_period.alias("period_last"))
     opens = F.col("owning") & (F.col("prev").isNull() | F.col("prev.closes") | ~F.col("prev.team_id").eqNullSafe(F.col("team_id")))
     e = e.withColumn("opens", opens).withColumn("number", F.sum(F.col("opens").cast("int")).over(period.rowsBetween(Window.unboundedPreceding, 0)))
     ends = F.when(F.col("closes"), F.col("seconds")).when(F.col("following").isNotNull(), F.col("following.seconds")).otherwise(F.col("period_last"))
@@ -101,7 +103,7 @@ def possessions(log: DataFrame) -> DataFrame:
     parked = t.where("number is null").select("game_id", "ord", "team_id", "points", F.lit(True).alias("parked"))
     both = parked.select("game_id", "team_id", "ord", "points", F.lit(None).cast("struct<period:int,number:bigint>").alias("at")).unionByName(own.select("game_id", F.col("offense_team_id").alias("team_id"), F.col("first_ord").alias("ord"), F.lit(None).cast("int").alias("points"), F.struct(F.col("period").cast("int").alias("period"), F.col("possession_number").cast("bigint").alias("number")).alias("at")))
     team = Window.partitionBy("game_id", "team_id").orderBy("ord")
-    landed = both.select("game_id", "team_id", "ord", "points", F.coalesce(F.first("at", ignorenulls=True).over(team.rowsBetween(1, Window.unboundedFollowing)), F.last("at", ignorenulls=True).over(team.rowsBetween(Window.unboundedPreceding, -1))).alias("to")).where("points is not null")
+    landed = both.select("game_id", "team_id", "ord", "points", F.coalesce(F.last("at", ignorenulls=True).over(Window.partitionBy("game_id", "team_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)), F.last("at", ignorenulls=True).over(team.rowsBetween(Window.unboundedPreceding, -1))).alias("to")).where("points is not null")
     later = landed.where("to is not null").groupBy("game_id", F.col("to.period").alias("period"), F.col("to.number").alias("possession_number")).agg(F.sum("points").alias("extra"))
     extra = here.select("game_id", F.col("period").cast("int").alias("period"), F.col("possession_number").cast("bigint").alias("possession_number"), "extra").unionByName(later).groupBy("game_id", "period", "possession_number").agg(F.sum("extra").alias("extra"))
     rows = own.join(extra, ["game_id", "period", "possession_number"], "left").select("game_id", "period", "possession_number", "offense_team_id", (F.col("own_points") + F.coalesce("extra", F.lit(0))).cast("int").alias("points"), "start_seconds", "end_seconds", "home_score_before", "away_score_before")
