@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import exprs as X
+from tallyframe.sources import sinks
+
+#: Rounds between two writings of the margins.
+WRITE_EVERY = 8
 
 
 @dataclass(frozen=True)
@@ -117,17 +121,29 @@ def best_split(rows: dict[str, dict[int, tuple[float, float, int]]], features: l
 
 def fit(df: DataFrame, features: list[str], config: Config, *, y: str = "y", validation: DataFrame | None = None, patience: int | None = None) -> tuple[Model, list[float]]:
     """GBM04, GBM06: (model, validation loss by round). Bins are computed once and kept; each level
-    is one aggregation of (node, feature, bin); the margin is an expression over the trees so far,
-    materialised every few rounds so that plans stay short."""
+    is one aggregation of (node, feature, bin). Rows carry their margin as a column; every ``WRITE_EVERY``
+    rounds they are written to the shared folder, so that no plan holds more trees than that. The
+    validation rows carry theirs in the same table."""
     edges = bin_edges(df, features, config.bins)
     mean = float(df.agg(F.avg(F.col(y).cast("double"))).first()[0])
     mean = min(max(mean, 1e-6), 1 - 1e-6)
     model = Model(float(np.log(mean / (1 - mean))), config.rate)
-    rows = df.select(F.col(y).cast("double").alias("y"), *features, *[bin_of(F.col(f), edges[f]).alias(f"bin_{f}") for f in features]).cache()
+    spark, bins = df.sparkSession, [f"bin_{f}" for f in features]
+    take = lambda d, held: d.select(F.col(y).cast("double").alias("y"), *features, F.lit(held).alias("held"))
+    rows = take(df, False) if validation is None else take(df, False).unionByName(take(validation, True))
+    rows = rows.select("*", *[bin_of(F.col(f), edges[f]).alias(f"bin_{f}") for f in features], F.lit(model.start).alias("margin"))
+    paths_written: list[str] = []
+
+    def keep(d: DataFrame) -> DataFrame:
+        paths_written.append(sinks.scratch(spark, "margins"))
+        d.write.parquet(paths_written[-1])
+        return spark.read.parquet(paths_written[-1])
+
+    rows = keep(rows)
     losses: list[float] = []
-    for _ in range(config.rounds):
-        p = model.predict()
-        base = rows.select("y", *[f"bin_{f}" for f in features], p.alias("p")).select("*", (F.col("p") - F.col("y")).alias("g"), (F.col("p") * (1 - F.col("p"))).alias("h")).cache()
+    for turn in range(config.rounds):
+        p = X.sigmoid(F.col("margin"))
+        base = rows.where("not held").select(*bins, p.alias("p"), "y").select(*bins, (F.col("p") - F.col("y")).alias("g"), (F.col("p") * (1 - F.col("p"))).alias("h"))
         root = Node()
         open_: dict[int, Node] = {0: root}
         paths: dict[int, Column] = {0: F.lit(True)}
@@ -152,13 +168,16 @@ def fit(df: DataFrame, features: list[str], config: Config, *, y: str = "y", val
             open_, paths = nxt, nxt_paths
             if not open_:
                 break
-        base.unpersist()
         model.trees.append(root)
+        rows = rows.withColumn("margin", F.col("margin") + root.column() * config.rate)
+        if (turn + 1) % WRITE_EVERY == 0 and turn + 1 < config.rounds:
+            rows = keep(rows)
         if validation is not None:
-            losses.append(float(validation.agg(F.avg(X.log_loss(F.col(y), model.predict()))).first()[0]))
+            losses.append(float(rows.where("held").agg(F.avg(X.log_loss(F.col("y"), X.sigmoid(F.col("margin"))))).first()[0]))
             if patience and len(losses) - 1 - int(np.argmin(losses)) >= patience:
                 break
-    rows.unpersist()
+    for at in paths_written:
+        sinks.remove(spark, at)
     return model, losses
 
 

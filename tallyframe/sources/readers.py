@@ -73,16 +73,26 @@ def table_or_none(spark: SparkSession, name: str) -> DataFrame | None:
 
 
 def design_artifacts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC14: (entries, rows) of a written design; lengths must agree."""
-    entries, rows = spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/rows")
-    n, most = rows.count(), entries.agg(F.max("row_id")).first()[0]
-    if most is not None and most >= n:
-        raise ValueError(f"entries refer to row {most}; there are {n} rows")
+    """SRC14: (entries, rows) of a written design; every entry must be of a written row and column, and
+    rows and columns must be written once each."""
+    entries, rows, cols = (spark.read.parquet(f"{path}/{name}") for name in ("entries", "rows", "columns"))
+    for key, known in (("row_id", rows), ("column_id", cols)):
+        stray = entries.select(key).join(known.select(key), key, "left_anti").first()
+        if stray is not None:
+            raise ValueError(f"entries refer to {key} {stray[0]}, which isn't written")
+        twice = known.groupBy(key).count().where("count > 1").first()
+        if twice is not None:
+            raise ValueError(f"{key} {twice[0]} is written {twice['count']} times")
     return entries, rows
 
 
-def json_artifact(path: str, made_by: str) -> dict:
-    """SRC15: a metrics document; the error says what makes it."""
+def json_artifact(path: str, made_by: str, spark: SparkSession | None = None) -> dict:
+    """SRC15: a metrics document; the error says what makes it. With a session, read by its file systems."""
+    if spark is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            raise FileNotFoundError(f"{path} is missing; run {made_by} first")
+        return json.loads(spark.read.text(path, wholetext=True).first()[0])
     p = Path(path)
     if not p.exists():
         raise FileNotFoundError(f"{path} is missing; run {made_by} first")

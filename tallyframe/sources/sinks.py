@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +22,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` computed once, in the shared folder, and read from there: its lineage is cut."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what :func:`scratch` named, whatever its file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(df: DataFrame, name: str) -> None:
     """SNK01-02: replace a table."""
     df.write.mode("overwrite").saveAsTable(name)
@@ -34,13 +45,24 @@ def parquet(df: DataFrame, path: str, *, partition_by: tuple[str, ...] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def _publish(spark: SparkSession, made: str, path: str) -> None:
+    """Rename ``made`` to ``path``, whatever the file system, replacing what is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(made), jvm.org.apache.hadoop.fs.Path(path)
+    fs = b.getFileSystem(conf)
+    fs.delete(b, True)
+    if not fs.rename(a, b):
+        raise OSError(f"{made} can't be renamed to {path}")
+
+
 def ordered_file(df: DataFrame, path: str, *keys: str) -> None:
     """SNK03, SNK09: one sorted zstd file, visible only when whole. For exports, not for scale."""
-    work = f"{path}.{uuid.uuid4().hex}.tmp"
+    spark, work = df.sparkSession, f"{path}.{uuid.uuid4().hex}.tmp"
     df.repartition(1).sortWithinPartitions(*keys).write.option("compression", "zstd").parquet(work)
-    part = next(Path(work).glob("part-*.parquet"))
-    os.replace(part, path)
-    shutil.rmtree(work)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{work}/part-*.parquet")
+    part = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)[0].getPath().toString()
+    _publish(spark, part, path)
+    remove(spark, work)
 
 
 def design_artifacts(entries: DataFrame, rows: DataFrame, columns: DataFrame, path: str) -> None:
@@ -54,9 +76,16 @@ def canonical(obj: object) -> str:
     return json.dumps(obj, sort_keys=True, indent=2, ensure_ascii=False, default=str) + "\n"
 
 
-def json_atomic(path: str, obj: object) -> None:
-    """SNK06: written beside, synced, renamed."""
+def json_atomic(path: str, obj: object, spark: SparkSession | None = None) -> None:
+    """SNK06: written beside, synced, renamed; with a session, on the file system that it knows for ``path``."""
     tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    if spark is not None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tmp)
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+        out.write(bytearray(canonical(obj).encode()))
+        out.close()
+        _publish(spark, tmp, path)
+        return
     with open(tmp, "w", encoding="utf-8") as f:
         f.write(canonical(obj))
         f.flush()
@@ -73,7 +102,7 @@ def snapshot(df: DataFrame, path: str, key: str, provenance: dict) -> dict:
     """SNK09: the sorted table and its provenance document beside it."""
     ordered_file(df, path, key)
     doc = provenance | {"rows": df.count(), "columns": df.columns}
-    json_atomic(f"{path}.json", doc)
+    json_atomic(f"{path}.json", doc, df.sparkSession)
     return doc
 
 

@@ -91,6 +91,17 @@ def test_sinks(spark, tmp_path):
         assert svg.startswith("<svg") and svg.endswith("</svg>")
 
 
+def test_design_artifacts_are_validated(spark, tmp_path):
+    e = spark.createDataFrame([("a", 0, 1.0), ("b", 1, 1.0)], "row_id string, column_id int, value double")
+    rows, cols = e.select("row_id"), e.select("column_id")
+    sinks.design_artifacts(e, rows, cols, str(tmp_path / "ok"))
+    assert readers.design_artifacts(spark, str(tmp_path / "ok"))[0].count() == 2
+    for name, r, c in (("rows", rows.limit(1), cols), ("columns", rows, cols.limit(1)), ("twice", rows.union(rows), cols)):
+        sinks.design_artifacts(e, r, c, str(tmp_path / name))
+        with pytest.raises(ValueError):
+            readers.design_artifacts(spark, str(tmp_path / name))
+
+
 def test_hashes_and_report_chain(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "")], "k int, v string")
     one = reporting.table_digest(df, ["k", "v"]).first()
