@@ -116,6 +116,46 @@ def failures(gates: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, names).groupBy("gate").agg(F.sum("bad").alias("failures"))
 
 
+def ten_gates(states: DataFrame, poss: DataFrame, games: DataFrame) -> DataFrame:
+    """GAT12: (gate, failures) of the ten checks of the state mart.
+
+    States and possessions meet once, with their game; row rules, both window rules and the game
+    rules are then counted over that one partitioning, as sums by game and by gate.
+    """
+    c = F.col
+    p = poss.select(*KEY, c("offense_team_id").alias("p_offense"), c("points").alias("p_points"), F.lit(1).alias("in_poss"))
+    s = states.groupBy(*KEY).agg(F.count("*").alias("copies"), *[F.first(k).alias(k) for k in states.columns if k not in KEY])
+    j = s.withColumn("in_states", F.lit(1)).join(p, KEY, "full_outer")
+    g = games.select("game_id", c("home_team_id").alias("g_home"), c("away_team_id").alias("g_away"), c("home_final_score").alias("g_fh"), c("away_final_score").alias("g_fa"))
+    j = j.join(g, "game_id", "left")
+    w = Window.partitionBy("game_id").orderBy("period", "possession_number")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    points = lambda t: F.when(c("in_states").isNotNull() & (c("p_offense") == c(t)), c("p_points")).otherwise(0)
+    j = j.withColumns({f"was_{k}": F.lag(k).over(w) for k in ("home_score", "away_score", "elapsed_game_seconds")} | {"exp_home": F.coalesce(F.sum(points("g_home")).over(before), F.lit(0)), "exp_away": F.coalesce(F.sum(points("g_away")).over(before), F.lit(0))})
+    is_state, both = c("in_states").isNotNull(), c("in_states").isNotNull() & c("in_poss").isNotNull()
+    rows = {
+        "unique_key": c("copies") > 1,
+        "lineups_of_five": is_state & ((F.size("home_five") != 5) | (F.size("away_five") != 5)),
+        "possession_coverage": c("in_states").isNull() | c("in_poss").isNull(),
+        "possession_flag": is_state & (c("home_has_possession") != (c("possession_team_id") == c("home_team_id"))),
+        "score_and_time_monotonic": is_state & ((c("home_score") < c("was_home_score")) | (c("away_score") < c("was_away_score")) | (c("elapsed_game_seconds") < c("was_elapsed_game_seconds"))),
+        "clock_consistent": is_state & ((c("game_clock_seconds") < 0) | (c("game_clock_seconds") > F.when(c("period") <= 4, 720).otherwise(300)) | (c("regulation_seconds_remaining") != F.greatest(F.lit(0.0), 2880.0 - c("elapsed_game_seconds")))),
+        "score_before_possession": both & ((c("home_score") != c("exp_home")) | (c("away_score") != c("exp_away"))),
+        "rating_strictly_prior": is_state & (c("rapm_coverage_status").isNull() | ((c("rapm_coverage_status") != "cold_start") & (c("rapm_source_season").isNull() | (c("rapm_source_season") != c("season") - 1)))),
+    }
+    count = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
+    by_game = j.groupBy("game_id").agg(
+        *[count(cond).alias(k) for k, cond in rows.items()],
+        (F.sum(points("g_home")) != F.max("g_fh")).alias("fh"), (F.sum(points("g_away")) != F.max("g_fa")).alias("fa"),
+        (F.max(c("home_win").cast("int")) != F.max((c("g_fh") > c("g_fa")).cast("int"))).alias("won"),
+        F.countDistinct("split").alias("splits"), F.count_if(both).alias("matched"), F.count_if(is_state).alias("states"),
+    )
+    names = [*rows, "final_score_and_winner", "one_split_a_game"]
+    by_game = by_game.withColumns({"final_score_and_winner": F.when((c("matched") > 0) & (c("fh") | c("fa") | c("won")), 1).otherwise(0), "one_split_a_game": F.when((c("states") > 0) & (c("splits") != 1), 1).otherwise(0)})
+    total = by_game.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    return total.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), c(n).alias("failures")) for n in names])).alias("x")).select("x.*")
+
+
 def set_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """SET07, GAT13: keys of one side only, with the side."""
     left, right = a.select(key).distinct(), b.select(key).distinct()
@@ -152,6 +192,68 @@ def posterior_gates(coverage_90: float, sbc: float, rmse: float, ridge_rmse: flo
     return {"coverage_90": 0.85 <= coverage_90 <= 0.95, "sbc": 0.88 <= sbc <= 0.92, "rmse": rmse <= ridge_rmse + 1e-6}
 
 
-def comparison_gates(n: int, expected: int, ci: tuple[float, float], reproduced: bool) -> dict[str, bool]:
-    """GAT15-20: coverage, reproduction of the baseline, and a difference whose interval excludes 0."""
-    return {"coverage": n == expected, "baseline_reproduced": reproduced, "improves": ci[1] < 0.0, "not_worse": ci[0] <= 0.0}
+CALIBRATION = {"intercept": 0.1, "slope_low": 0.9, "slope_high": 1.1}
+
+
+def calibrated(intercept: float, slope: float, bounds: dict[str, float] = CALIBRATION) -> bool:
+    """Intercept near 0 and slope near 1."""
+    return abs(intercept) < bounds["intercept"] and bounds["slope_low"] <= slope <= bounds["slope_high"]
+
+
+def inside(*forecasts: dict) -> bool:
+    """Every forecast strictly between 0 and 1 (each has ``p_min`` and ``p_max``)."""
+    return all(0.0 < f["p_min"] and f["p_max"] < 1.0 for f in forecasts)
+
+
+#: The gates whose failure is a defect; the others report a finding.
+STRUCTURAL = {
+    "ablation": {"predictions_inside", "late_calibration_kept", "ratings_prior"},
+    "challenger": {"predictions_inside", "holdout_untouched", "ratings_prior"},
+    "market": {"predictions_inside"},
+    "ladder": {"predictions_inside", "test_untouched"},
+    "injury": {"predictions_inside", "test_untouched"},
+    "prediction_market": {"predictions_inside", "prices_before_tip", "test_only"},
+}
+
+
+def ablation_gates(tiers: dict[str, dict], d_minus_c: dict[str, float], rolling: list[float], prior_violations: int, tolerance: float = 0.01) -> dict[str, bool]:
+    """GAT15. ``tiers``: p_min, p_max, late_error of each; ``d_minus_c``: upper bounds brier_high, log_loss_high."""
+    return {
+        "predictions_inside": inside(*tiers.values()),
+        "late_calibration_kept": abs(tiers["D"]["late_error"]) <= abs(tiers["C"]["late_error"]) + tolerance,
+        "ratings_prior": prior_violations == 0,
+        "lineups_beat_teams": min(d_minus_c["brier_high"], d_minus_c["log_loss_high"]) < 0.0,
+        "rolling_reproduces": bool(rolling) and all(x < 0.0 for x in rolling),
+    }
+
+
+def challenger_gates(trees: dict, linear: dict, difference: dict[str, float], splits: set[str], prior_violations: int, material_buckets: int) -> dict[str, bool]:
+    """GAT16. ``trees`` has intercept and slope too."""
+    return {
+        "predictions_inside": inside(trees, linear),
+        "holdout_untouched": splits <= {"train", "validation"},
+        "ratings_prior": prior_violations == 0,
+        "trees_beat_linear": min(difference["brier_high"], difference["log_loss_high"]) < 0.0,
+        "trees_calibrated": calibrated(trees["intercept"], trees["slope"]),
+        "no_material_miscalibration": material_buckets == 0,
+    }
+
+
+def market_gates(model: dict, market: dict) -> dict[str, bool]:
+    """GAT17: beating the market is not asked for."""
+    return {"model_calibrated": calibrated(model["intercept"], model["slope"]), "predictions_inside": inside(model, market)}
+
+
+def ladder_gates(tiers: dict[str, dict], top: str, finding: str, high: float) -> dict[str, bool]:
+    """GAT18 (top P3, finding form_beats_prior_strength), GAT19 (top P4, finding availability_beats_form)."""
+    return {
+        "predictions_inside": inside(*tiers.values()),
+        "test_untouched": all(set(t["splits"]) == {"train", "validation"} for t in tiers.values()),
+        finding: high < 0.0,
+        "top_calibrated": calibrated(tiers[top]["intercept"], tiers[top]["slope"]),
+    }
+
+
+def prediction_market_gates(model: dict, market: dict, gap_min: float, gap_max: float, other_splits: int, most: float = 86_400.0) -> dict[str, bool]:
+    """GAT20: as GAT17, prices from before the start only and not older than a day, test season only."""
+    return market_gates(model, market) | {"prices_before_tip": 0.0 < gap_min and gap_max <= most, "test_only": other_splits == 0}
