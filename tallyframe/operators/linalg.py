@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,24 +111,91 @@ def solve_ridge(n: Normal, mask: np.ndarray, lam: float) -> np.ndarray:
         return np.linalg.lstsq(a, n.b, rcond=None)[0]
 
 
-def solve_blocks(n: Normal, mask: np.ndarray, lam: float, block: np.ndarray) -> np.ndarray:
-    """:func:`solve_ridge` where columns of different ``block`` numbers never meet in a row; those of
-    block -1 may meet all. Each block is solved by itself, the shared columns by their complement."""
-    pen, edge, out = penalty(mask, lam), np.flatnonzero(block < 0), np.zeros(len(mask))
-    s, r, parts = n.a[np.ix_(edge, edge)] + np.diag(pen[edge]), n.b[edge].copy(), []
-    for k in np.unique(block[block >= 0]):
-        at = np.flatnonzero(block == k)
-        side = n.a[np.ix_(at, edge)]
-        x = np.linalg.solve(n.a[np.ix_(at, at)] + np.diag(pen[at]), np.column_stack([side, n.b[at]]))
-        s, r = s - side.T @ x[:, :-1], r - side.T @ x[:, -1]
-        parts.append((at, x))
-    out[edge] = np.linalg.solve(s, r)
-    for at, x in parts:
-        out[at] = x[:, -1] - x[:, :-1] @ out[edge]
-    return out
-
-
-def select_lambda(by_fold: dict[int, Normal], score, mask: np.ndarray, lambdas: np.ndarray = LAMBDAS, solve=solve_ridge) -> tuple[float, dict[float, float]]:
+@dataclass
+class Blocks:
+    """Normal equations of columns that meet within their block only (a season), and of one shared column
+    that meets all (home): by block the gram, its border and the moment. A gram over a block's columns
+    is as large as that season's players, whatever the number of seasons."""
+
+    at: list[np.ndarray]
+    gram: list[np.ndarray]
+    border: list[np.ndarray]
+    moment: list[np.ndarray]
+    corner: float = 0.0
+    corner_moment: float = 0.0
+    yy: float = 0.0
+    rows: int = 0
+
+    @classmethod
+    def collect(cls, g: DataFrame, m: DataFrame, block: np.ndarray, yy: float, rows: int) -> Blocks:
+        """From :func:`gram` and :func:`moment`; ``block`` numbers each column's block, -1 is the shared one."""
+        at = [np.flatnonzero(block == k) for k in np.unique(block[block >= 0])]
+        where, local = np.zeros(len(block), dtype=int), np.zeros(len(block), dtype=int)
+        for k, a in enumerate(at):
+            where[a], local[a] = k, np.arange(len(a))
+        out = cls(at, [np.zeros((len(a), len(a))) for a in at], [np.zeros(len(a)) for a in at], [np.zeros(len(a)) for a in at], yy=float(yy), rows=int(rows))
+        i, j, v = g.select("i", "j", "value").toPandas().to_numpy(dtype=float).reshape(-1, 3).T
+        i, j = i.astype(int), j.astype(int)
+        for k in range(len(at)):
+            mine = (block[i] >= 0) & (block[j] >= 0) & (where[i] == k) & (where[j] == k)
+            x, y = local[i[mine]], local[j[mine]]
+            out.gram[k][x, y] = out.gram[k][y, x] = v[mine]
+            for a, b in ((i, j), (j, i)):
+                edge = (block[a] >= 0) & (block[b] < 0) & (where[a] == k)
+                out.border[k][local[a[edge]]] = v[edge]
+        out.corner = float(v[(block[i] < 0) & (block[j] < 0)].sum())
+        c, w = m.select("i", "value").toPandas().to_numpy(dtype=float).reshape(-1, 2).T
+        c = c.astype(int)
+        for k in range(len(at)):
+            mine = (block[c] >= 0) & (where[c] == k)
+            out.moment[k][local[c[mine]]] = w[mine]
+        out.corner_moment = float(w[block[c] < 0].sum())
+        return out
+
+    def __add__(self, o: Blocks) -> Blocks:
+        add = lambda x, y: [a + b for a, b in zip(x, y)]
+        return Blocks(self.at, add(self.gram, o.gram), add(self.border, o.border), add(self.moment, o.moment), self.corner + o.corner, self.corner_moment + o.corner_moment, self.yy + o.yy, self.rows + o.rows)
+
+    def solve(self, lam: float) -> np.ndarray:
+        """MLR04-06: the ridge solution; the shared column is free."""
+        s, r, parts = self.corner, self.corner_moment, []
+        for g, e, m in zip(self.gram, self.border, self.moment):
+            x = np.linalg.solve(g + lam * np.eye(len(g)), np.column_stack([e, m]))
+            s, r = s - e @ x[:, 0], r - e @ x[:, 1]
+            parts.append(x)
+        out = np.zeros(sum(map(len, self.at)) + 1)
+        home = r / s if s > 0 else 0.0
+        for a, x in zip(self.at, parts):
+            out[a] = x[:, 1] - x[:, 0] * home
+        out[self._shared()] = home
+        return out
+
+    def _shared(self) -> int:
+        n = sum(map(len, self.at)) + 1
+        return int(np.setdiff1d(np.arange(n), np.concatenate(self.at) if self.at else []).item())
+
+    def rss(self, beta: np.ndarray) -> float:
+        """The squared error of ``beta`` on these rows."""
+        h = beta[self._shared()]
+        out = self.yy - 2 * h * self.corner_moment + h * h * self.corner
+        for a, g, e, m in zip(self.at, self.gram, self.border, self.moment):
+            b = beta[a]
+            out += b @ g @ b + 2 * h * (e @ b) - 2 * b @ m
+        return float(max(out, 0.0))
+
+    def rmse(self, beta: np.ndarray) -> float:
+        """Root of the mean squared error."""
+        return float(np.sqrt(self.rss(beta) / max(1, self.rows)))
+
+    def inverses(self, lam: float) -> list[np.ndarray]:
+        """BAY03: the diagonal blocks of the penalised gram's inverse."""
+        inv = [np.linalg.inv(g + lam * np.eye(len(g))) for g in self.gram]
+        u = [x @ e for x, e in zip(inv, self.border)]
+        s = self.corner - sum(float(e @ x) for e, x in zip(self.border, u))
+        return [x + np.outer(v, v) / s if s > 0 else x for x, v in zip(inv, u)]
+
+
+def select_lambda(by_fold: dict[int, Normal | Blocks], score, mask: np.ndarray, lambdas: np.ndarray = LAMBDAS, solve=solve_ridge) -> tuple[float, dict[float, float]]:
     """MLR07: the lambda of least mean ``score(beta, fold)``; each fold's gram is computed once and a
     training gram is the sum of the others."""
     curve = {}
@@ -243,13 +311,17 @@ def coverage_frame(df: DataFrame) -> DataFrame:
     return df.groupBy("level").agg(F.round(F.avg(F.when((F.col("y") >= F.col("low")) & (F.col("y") <= F.col("high")), 1.0).otherwise(0.0)), 10).alias("coverage"))
 
 
-def simulation_calibration(spark, x: np.ndarray, lam: float, sigma2: float, *, trials: int = 40, seed: int = 7, level: float = 0.9) -> DataFrame:
+def simulation_calibration(spark, gram: np.ndarray, lam: float, sigma2: float, *, trials: int = 40, seed: int = 7, level: float = 0.9) -> DataFrame:
     """BAY08: trials in parallel: draw coefficients from the prior, data from them, and count how many
-    intervals hold the truth. ``x`` is a small design, sent with the function."""
-    import pandas as pd
+    intervals hold the truth.
 
-    p = x.shape[1]
-    inv = np.linalg.inv(x.T @ x + lam * np.eye(p))
+    Data meet the posterior only as X'y, which is X'X beta plus noise of covariance sigma2 X'X; so a trial
+    needs the ``gram`` of all rows and none of the rows.
+    """
+    p = len(gram)
+    inv = np.linalg.inv(gram + lam * np.eye(p))
+    values, vectors = np.linalg.eigh(gram)
+    root = vectors * np.sqrt(np.maximum(values, 0.0))
     z = NORMAL[level]
 
     def run(batches):
@@ -258,8 +330,8 @@ def simulation_calibration(spark, x: np.ndarray, lam: float, sigma2: float, *, t
             for t in b["id"]:
                 rng = np.random.default_rng([seed, int(t)])
                 beta = rng.normal(0, np.sqrt(sigma2 / lam), p)
-                y = x @ beta + rng.normal(0, np.sqrt(sigma2), len(x))
-                m, sd = inv @ (x.T @ y), np.sqrt(sigma2 * np.diag(inv))
+                xy = gram @ beta + np.sqrt(sigma2) * (root @ rng.normal(size=p))
+                m, sd = inv @ xy, np.sqrt(sigma2 * np.diag(inv))
                 out.append((int(t), float(np.mean(np.abs(m - beta) <= z * sd))))
             yield pd.DataFrame(out, columns=["trial", "coverage"])
 

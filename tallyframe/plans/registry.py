@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyframe.plans import expressions, relational, statistics
+from tallyframe.plans import connectors, expressions, relational, statistics, studies
 
 FLAGSHIP = "FLAGSHIP_game_states"
-QUERIES: dict = relational.QUERIES | expressions.QUERIES | statistics.QUERIES
-ORACLES: dict = relational.ORACLES | expressions.ORACLES | statistics.ORACLES
+QUERIES: dict = relational.QUERIES | expressions.QUERIES | statistics.QUERIES | studies.QUERIES | connectors.QUERIES
+ORACLES: dict = relational.ORACLES | expressions.ORACLES | statistics.ORACLES | connectors.ORACLES

@@ -12,6 +12,7 @@ from tallyframe.functions import exprs as X
 from tallyframe.operators import boost, linalg, logistic, metrics, pregame
 from tallyframe.plans import standins as S
 from tallyframe.plans.relational import mart
+from tallyframe.plans.studies import design_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,9 +72,26 @@ def agg31(spark, d):
     return _table(spark, d)
 
 
-@query("AGG32_material", f"SELECT * FROM ({_TABLE}) WHERE n >= 250 AND abs(error) > 0.1", "scored")
+_OFF = "SELECT game_id, season, period, possession_number, margin, remaining, y, p, (p - y) * (p - y) AS brier, -CASE WHEN y = 1 THEN ln(p) ELSE ln(1.0 - p) END AS log_loss FROM (SELECT * REPLACE (p * {a} + {b} AS p) FROM scored)"
+
+
+def _moved(spark, d, a: float, b: float) -> DataFrame:
+    s = scored(spark, d).drop("brier", "log_loss")
+    return metrics.scored(s.withColumn("p", F.col("p") * a + b))
+
+
+def _broken(df: DataFrame) -> DataFrame:
+    t = metrics.breakdown(df, {"period": X.period_label(F.col("period")), "time": X.time_bucket(F.col("remaining")), "margin": X.margin_band(F.col("margin"))})
+    return _round(t, 7, "mean_p", "rate", "error", "brier", "log_loss")
+
+
+def _off_table(a: float, b: float) -> str:
+    return _TABLE.replace("FROM scored", f"FROM ({_OFF.format(a=f'CAST({a} AS DOUBLE)', b=f'CAST({b} AS DOUBLE)')})")
+
+
+@query("AGG32_material", f"SELECT * FROM ({_off_table(0.5, 0.05)}) WHERE n >= 250 AND abs(error) > 0.1", "scored")
 def agg32(spark, d):
-    return metrics.material(_table(spark, d))
+    return metrics.material(_broken(_moved(spark, d, 0.5, 0.05)))
 
 
 @query("AGG33_murphy", f"SELECT round(sum(n * (mp - my) ** 2) / max(t), 7) AS reliability, round(sum(n * (my - base) ** 2) / max(t), 7) AS resolution, round(max(base * (1 - base)), 7) AS uncertainty FROM (SELECT {_BIN} AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM scored GROUP BY 1), (SELECT avg(y) AS base, count(*) AS t FROM scored)", "scored")
@@ -81,13 +99,9 @@ def agg33(spark, d):
     return _round(metrics.murphy(scored(spark, d)), 7, "reliability", "resolution", "uncertainty")
 
 
-@query("JON22_subgroup_lift", f"WITH t AS ({_TABLE}) SELECT a.dimension, a.bucket, a.n, a.brier AS brier_c, a.brier AS brier_d, 0.0 AS gain FROM t a", "scored")
+@query("JON22_subgroup_lift", f"SELECT c.dimension, c.bucket, c.n, c.brier AS brier_c, d.brier AS brier_d, round(d.brier - c.brier, 6) AS gain FROM ({_off_table(0.8, 0.1)}) c JOIN ({_TABLE}) d USING (dimension, bucket)", "scored")
 def jon22(spark, d):
-    t = _table(spark, d)
-    return metrics.subgroup_lift(t, t)
-
-
-ORACLES["JON22_subgroup_lift"] = S.sql(f"SELECT dimension, bucket, n, brier AS brier_c, brier AS brier_d, CAST(0.0 AS DOUBLE) AS gain FROM ({_TABLE})", "scored")
+    return metrics.subgroup_lift(_broken(_moved(spark, d, 0.8, 0.1)), _table(spark, d)).withColumn("gain", F.round("gain", 6))
 
 
 @query("BST01_game_sums", "SELECT game_id, count(*) AS n, round(sum(brier), 7) AS brier, round(sum(log_loss), 7) AS log_loss FROM scored GROUP BY 1", "scored")
@@ -99,22 +113,14 @@ def bst01(spark, d):
 def bst02(spark, d):
     s = scored(spark, d)
     base = metrics.scored(s.drop("brier", "log_loss").withColumn("p", F.lit(0.5)))
-    r = metrics.paired_bootstrap(metrics.game_sums(s), metrics.game_sums(base), n=500)
+    r = metrics.paired_bootstrap(metrics.game_sums(s), metrics.game_sums(base))
     return spark.createDataFrame([(k, v["point"], v["low"], v["high"]) for k, v in r.items()], "statistic string, point double, low double, high double")
 
 
-@query("BST04_BST06_gap_closed", None)
-def bst04(spark, d):
-    g = metrics.game_sums(scored(spark, d)).orderBy("game_id").select((F.col("brier") / F.col("n")).alias("m")).toPandas()["m"].to_numpy()
-    rows = np.column_stack([np.full(len(g), 0.25), g, g * 0.9])
-    ci = metrics.statistic_interval(rows, lambda r: metrics.gap_closed(r[:, 0], r[:, 1], r[:, 2]), n=500)
-    return spark.createDataFrame([(ci["point"], ci["low"], ci["high"])], "point double, low double, high double")
-
-
-@query("MKT01_MKT02_MKT05_compare", "SELECT count(*) AS games, round(avg((p - y) ** 2), 7) AS model_brier, round(avg((q - y) ** 2), 7) AS market_brier, round(corr(p, q), 6) AS correlation FROM (SELECT y, p, 0.2 + 0.6 * p AS q FROM scored)", "scored")
+@query("MKT01_MKT02_MKT05_compare", "SELECT count(*) AS games, round(avg((p - y) ** 2), 7) AS model_brier, round(avg((q - y) ** 2), 7) AS market_brier, round(corr(p, q), 4) AS correlation FROM (SELECT y, p, CAST(CAST(substr(game_id, 6) AS BIGINT) * 37 % 89 + 5 AS DOUBLE) / 99 AS q FROM scored)", "scored")
 def mkt01(spark, d):
-    c = pregame.compare(scored(spark, d).select("y", F.col("p").alias("p_model"), (0.2 + 0.6 * F.col("p")).alias("market_home_prob")))
-    return c.select("games", F.round("model_brier", 7).alias("model_brier"), F.round("market_brier", 7).alias("market_brier"), F.round("correlation", 6).alias("correlation"))
+    c = pregame.compare(scored(spark, d).select("y", F.col("p").alias("p_model"), ((F.substring("game_id", 6, 20).cast("long") * 37 % 89 + 5).cast("double") / 99.0).alias("market_home_prob")))
+    return c.select("games", F.round("model_brier", 7).alias("model_brier"), F.round("market_brier", 7).alias("market_brier"), F.round("correlation", 4).alias("correlation"))
 
 
 @query("AGG35_standardise", "SELECT round(avg(margin), 8) AS m0, round(stddev_pop(margin), 8) AS s0 FROM scored", "scored")
@@ -126,11 +132,6 @@ def agg35(spark, d):
 # --- design and gram -----------------------------------------------------------------------------
 
 
-def _design_rows(spark, d) -> DataFrame:
-    p = S.poss(spark, d).join(S.games(spark, d).select("game_id", "home_team_id"), "game_id")
-    return p.select(F.concat_ws("|", "game_id", "period", "possession_number").alias("row_id"), "game_id", "season", "offense_five", "defense_five", (F.col("offense_team_id") == F.col("home_team_id")).alias("home"), "points")
-
-
 _ROWS = "SELECT concat_ws('|', game_id, period, possession_number) AS row_id, game_id, season, offense_five, defense_five, offense_team_id = home_team_id AS home, points FROM state"
 _COUNTS = "SELECT season, pid AS player_id, count(*) AS n FROM (SELECT season, unnest(list_concat(offense_five, defense_five)) AS pid FROM poss) GROUP BY 1, 2"
 _COLS = f"WITH ct AS ({_COUNTS}), l AS (SELECT season, 0 AS kind, player_id, side FROM ct, (VALUES ('O'), ('D')) s(side) WHERE n >= 20 UNION ALL SELECT DISTINCT season, 1, CAST(NULL AS BIGINT), side FROM ct, (VALUES ('O'), ('D')) s(side)), o AS (SELECT *, CAST(row_number() OVER (ORDER BY season, kind, player_id NULLS FIRST, side DESC) - 1 AS INTEGER) AS column_id FROM l) SELECT season, kind, player_id, side, column_id, TRUE AS penalised FROM o UNION ALL SELECT NULL, 2, NULL, 'H', max(column_id) + 1, FALSE FROM o"
@@ -153,7 +154,7 @@ def mlr01(spark, d):
 
 @query("ARR05_MLR02_SRC12_design", _ENTRIES, "state")
 def mlr02(spark, d):
-    return linalg.design(_design_rows(spark, d), _cols(spark, d))
+    return linalg.design(design_rows(spark, d), _cols(spark, d))
 
 
 @query("MLR06_gram", f"WITH x AS ({_ENTRIES}) SELECT a.column_id AS i, b.column_id AS j, sum(a.value * b.value) AS value FROM x a JOIN x b ON a.row_id = b.row_id AND a.column_id <= b.column_id GROUP BY 1, 2", "state")
@@ -163,7 +164,7 @@ def mlr06(spark, d):
 
 @query("MLR06_moment", f"WITH x AS ({_ENTRIES}), r AS ({_ROWS}) SELECT column_id AS i, sum(value * points) AS value FROM x JOIN r USING (row_id) GROUP BY 1", "state")
 def mlr06b(spark, d):
-    return linalg.moment(mlr02(spark, d), _design_rows(spark, d).select("row_id", F.col("points").alias("y")))
+    return linalg.moment(mlr02(spark, d), design_rows(spark, d).select("row_id", F.col("points").alias("y")))
 
 
 @query("MLR06_embedding_gram", "WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) AS value FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2")
@@ -174,7 +175,7 @@ def mlr06c(spark, d):
 
 @query("MLR09_AGG22_indicator_means", f"WITH x AS ({_ENTRIES}), r AS ({_ROWS}) SELECT column_id, count(*) AS n, round(avg(points), 9) AS mean_y FROM x JOIN r USING (row_id) GROUP BY 1", "state")
 def mlr09(spark, d):
-    return linalg.indicator_means(mlr02(spark, d), _design_rows(spark, d).select("row_id", F.col("points").alias("y"))).withColumn("mean_y", F.round("mean_y", 9))
+    return linalg.indicator_means(mlr02(spark, d), design_rows(spark, d).select("row_id", F.col("points").alias("y"))).withColumn("mean_y", F.round("mean_y", 9))
 
 
 @query("MLR10_AGG23_team_means", "SELECT t AS team_id, round(coalesce(m, o), 9) AS mean_points FROM (SELECT DISTINCT home_team_id AS t FROM games0 UNION SELECT 999) LEFT JOIN (SELECT offense_team_id, avg(points) AS m FROM poss GROUP BY 1) ON t = offense_team_id, (SELECT avg(points) AS o FROM poss)", "poss")
@@ -198,24 +199,24 @@ def mlr11(spark, d):
 
 @query("AGG19_game_margin", f"SELECT game_id, CAST(sum(CASE WHEN home THEN points ELSE -points END) AS BIGINT) AS margin FROM ({_ROWS}) GROUP BY 1", "state")
 def agg19(spark, d):
-    return linalg.game_margin(_design_rows(spark, d))
+    return linalg.game_margin(design_rows(spark, d))
 
 
 @query("AGG20_margin_rmse", f"WITH m AS (SELECT game_id, sum(CASE WHEN home THEN points ELSE -points END) AS margin FROM ({_ROWS}) GROUP BY 1) SELECT count(*) AS games, round(sqrt(avg((margin - 1.5) ** 2)), 8) AS rmse FROM m", "state")
 def agg20(spark, d):
-    m = linalg.game_margin(_design_rows(spark, d))
+    m = linalg.game_margin(design_rows(spark, d))
     return linalg.margin_rmse(m, m.select("game_id", F.lit(1.5).alias("margin")))
 
 
 @query("BAY04_game_weights", f"WITH x AS ({_ENTRIES}), r AS ({_ROWS}) SELECT game_id, column_id, CAST(sum(CASE WHEN home THEN value ELSE -value END) AS DOUBLE) AS value FROM x JOIN r USING (row_id) GROUP BY 1, 2", "state")
 def bay04(spark, d):
-    return linalg.game_weights(mlr02(spark, d), _design_rows(spark, d).select("row_id", "game_id", "home"))
+    return linalg.game_weights(mlr02(spark, d), design_rows(spark, d).select("row_id", "game_id", "home"))
 
 
 @query("BAY02_residual_variance", f"WITH x AS ({_ENTRIES}), r AS ({_ROWS}), p AS (SELECT row_id, sum(value * (column_id % 7 - 3) / 10.0) AS p FROM x GROUP BY 1) SELECT round(sum((points - p) ** 2), 5) AS rss, count(*) AS rows FROM r JOIN p USING (row_id)", "state")
 def bay02(spark, d):
     beta = _cols(spark, d).select("column_id", ((F.col("column_id") % 7 - 3) / 10.0).alias("beta"))
-    y = _design_rows(spark, d).select("row_id", F.col("points").alias("y"))
+    y = design_rows(spark, d).select("row_id", F.col("points").alias("y"))
     return linalg.residual_variance(y, linalg.predict(mlr02(spark, d), beta)).withColumn("rss", F.round("rss", 5))
 
 
@@ -240,38 +241,12 @@ def mlr03(spark, d):
     return linalg.folds(S.games0(spark, d), k=5, seed=20)
 
 
-@query("MLR07_BAY01_BAY09_ridge_and_posterior", None)
-def mlr07(spark, d):
-    """Fold grams from one job, the penalty by cross-validated squared error, then ratings with SDs; all
-    seasons together, as they share the penalty, the home column and the residual variance."""
-    rows = _design_rows(spark, d).cache()
-    cols = linalg.columns(linalg.floor_counts(rows), least=20).cache()
-    x = linalg.design(rows, cols).join(rows.select("row_id", "game_id", F.col("points").alias("y")), "row_id").join(linalg.folds(S.games0(spark, d), k=3).select("game_id", "fold"), "game_id").cache()
-    p = cols.count()
-    laid = cols.orderBy("column_id").select("penalised", F.coalesce("season", F.lit(-1))).collect()
-    mask, block = np.array([r[0] for r in laid]), np.array([r[1] for r in laid])
-    solve = lambda n, mask, lam: linalg.solve_blocks(n, mask, lam, block)
-    e = x.select("fold", "row_id", "column_id", "value")
-    g, m = linalg.gram(e, "fold").cache(), x.groupBy("fold", F.col("column_id").alias("i")).agg(F.sum(F.col("value") * F.col("y")).alias("value")).cache()
-    yy = {r[0]: r[1] for r in rows.join(linalg.folds(S.games0(spark, d), k=3).select("game_id", "fold"), "game_id").groupBy("fold").agg(F.sum(F.col("points") * F.col("points"))).collect()}
-    by = {f: linalg.Normal.collect(g.where(F.col("fold") == f), m.where(F.col("fold") == f), p) for f in sorted(yy)}
-    sse = lambda b, f: float(yy[f] - 2 * b @ by[f].b + b @ by[f].a @ b)
-    lam, _ = linalg.select_lambda(by, sse, mask, solve=solve)
-    total = sum(list(by.values())[1:], next(iter(by.values())))
-    beta = solve(total, mask, lam)
-    n = rows.count()
-    post = linalg.posterior(total, mask, lam, sum(sse(beta, f) for f in by), n)
-    pairs = cols.where("kind = 0").groupBy("player_id", "season").agg(F.max(F.when(F.col("side") == "O", F.col("column_id"))).alias("o"), F.max(F.when(F.col("side") == "D", F.col("column_id"))).alias("dd")).collect()
-    out = [(r["player_id"], r["season"], *post.net(r["o"], r["dd"]), float(lam)) for r in pairs]
-    for c in (rows, cols, x, g, m):
-        c.unpersist()
-    return spark.createDataFrame(out, "player_id long, season int, net_rating double, net_sd double, lambda double")
-
-
 @query("BAY08_simulation_calibration", None)
 def bay08(spark, d):
-    v = np.array([r[0] for r in S._t(spark, d, "embeddings").orderBy("vec_id").limit(200).select("embedding").collect()], dtype=float)[:, :12]
-    return linalg.simulation_calibration(spark, v, 5.0, 1.0)
+    g = mlr06c(spark, d).toPandas()  # columns x columns
+    a = np.zeros((int(g["j"].max()) + 1,) * 2) if len(g) else np.zeros((0, 0))
+    a[g["i"], g["j"]] = a[g["j"], g["i"]] = g["value"]
+    return linalg.simulation_calibration(spark, a, 5.0, 1.0)
 
 
 # --- models --------------------------------------------------------------------------------------
@@ -289,7 +264,7 @@ FEATURES = [f"x{i}" for i in range(4)]
 @query("LOG02_LOG03_LOG04_select_and_fit", None)
 def log03(spark, d):
     df = _model_frame(spark, d)
-    m, curve = logistic.select_and_fit(df, FEATURES, (1e-3, 1e-1, 10.0))
+    m, _ = logistic.select_and_fit(df, FEATURES)
     return df.where("split = 'test'").select("row", F.round(m.predict(), 6).alias("p"))
 
 
@@ -300,15 +275,6 @@ def log01(spark, d):
     return m.select("game_id", "period", "possession_number", f["margin"].alias("margin"), F.round(f["margin_over_sqrt_time"], 8).alias("margin_over_sqrt_time"), f["hinge_180"].alias("hinge_180"), f["season_2023"].alias("season_2023"), f["playoff"].alias("playoff"))
 
 
-@query("LOG05_LOG07_LOG08_PRE05_tiers", None)
-def log07(spark, d):
-    df = _model_frame(spark, d).withColumn("season", (F.col("row") % 4 + 2022).cast("int"))
-    out = []
-    for name, cols in (("none", []), ("two", FEATURES[:2]), ("four", FEATURES)):
-        out += [(name, fold, loss) for fold, loss in logistic.rolling(df, cols, {"a": ([2022, 2023], 2024), "b": ([2022, 2023, 2024], 2025)}).items()]
-    return spark.createDataFrame(out, "tier string, fold string, log_loss double")
-
-
 @query("LOG06_calibration", None)
 def log06(spark, d):
     a, b = logistic.calibration(scored(spark, d).select("y", "p"))
@@ -326,21 +292,6 @@ def log09(spark, d):
     return spark.createDataFrame([tuple(float(x) for x in b)], "intercept double, market double, model double")
 
 
-@query("PRE06_shrink_selection", None)
-def pre06(spark, d):
-    from tallyframe.operators import asof
-    from tallyframe.plans.relational import ledger
-
-    form = asof.form_to_date(ledger(spark, d)).withColumn("prior_net", F.lit(0.0)).cache()
-    out = []
-    for k in (5.0, 10.0, 20.0, 40.0):
-        e = asof.shrunk_form(form, "prior_net", k=k)
-        out.append((k, float(e.agg(F.avg(X.log_loss(F.col("won"), X.sigmoid(F.col("blended_net") / 400.0)))).first()[0])))
-    form.unpersist()
-    best = min(out, key=lambda x: x[1])[0]
-    return spark.createDataFrame([(k, v, k == best) for k, v in out], "k double, log_loss double, best boolean")
-
-
 @query("AGG41_GBM01_bin_edges", "SELECT 'x0' AS feature, quantile_cont(x, q) AS edge FROM (SELECT CAST(embedding[1] AS DOUBLE) AS x FROM embeddings), (VALUES (0.25), (0.5), (0.75)) t(q) GROUP BY q")
 def agg41(spark, d):
     e = boost.bin_edges(_model_frame(spark, d), ["x0"], 4)
@@ -359,8 +310,25 @@ def agg42(spark, d):
 ORACLES["AGG42_histograms"] = ORACLES["AGG42_histograms"].replace("round(sum(label / 10.0), 8)", "round(sum(CAST(label AS DOUBLE) / 10), 8)").replace("round(sum(0.25), 8)", "round(sum(CAST(0.25 AS DOUBLE)), 8)")
 
 
-@query("GBM02_GBM06_GBM09_boosting", None)
+@query("GBM02_GBM03_GBM04_GBM05_GBM06_GBM07_GBM08_boosting", None)
 def gbm06(spark, d):
     df = _model_frame(spark, d)
-    m, losses = boost.fit(df.where("split = 'train'"), FEATURES, boost.Config(rate=0.3, depth=2, rounds=3, bins=8, least_rows=20), validation=df.where("split = 'validation'"))
-    return df.where("split = 'test'").select("row", m.predict().alias("p"))
+    m, losses = boost.fit(df.where("split = 'train'"), FEATURES, boost.Config(rate=0.3, depth=2, bins=64, least_rows=20), validation=df.where("split = 'validation'"), patience=5)
+    return df.where("split = 'test'").select("row", m.truncated(int(np.argmin(losses)) + 1).predict().alias("p"))
+
+
+@query("MLR04_MLR05_penalties", f"SELECT column_id, CASE WHEN penalised THEN 100.0 ELSE 0.0 END AS penalty FROM ({_COLS})", "poss")
+def mlr04(spark, d):
+    cols = _cols(spark, d)
+    laid = cols.orderBy("column_id").select("column_id", "penalised").collect()  # thousands of columns at most
+    return spark.createDataFrame([(r[0], float(x)) for r, x in zip(laid, linalg.penalty(np.array([r[1] for r in laid]), 100.0))], "column_id int, penalty double")
+
+
+ORACLES["MLR04_MLR05_penalties"] = S.sql(f"SELECT column_id, CAST(CASE WHEN penalised THEN 100 ELSE 0 END AS DOUBLE) AS penalty FROM ({_COLS})", "poss")
+
+
+@query("BAY10_decayed_gram", "WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) SELECT a.i, b.i AS j, round(sum(a.v * b.v * pow(CAST(0.5 AS DOUBLE), CAST(a.vec_id % 120 AS DOUBLE) / 60)), 6) AS value FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2")
+def bay10(spark, d):
+    t = S._t(spark, d, "embeddings")
+    e = t.select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("column_id", "v")).select("row_id", F.col("column_id").cast("long").alias("column_id"), F.col("v").cast("double").alias("value"))
+    return linalg.decayed_gram(e, t.select(F.col("vec_id").alias("row_id"), (F.col("vec_id") % 120).alias("days"))).withColumn("value", F.round("value", 6))

@@ -33,7 +33,7 @@ def test_ridge_from_gram_equals_direct_solution(spark):
 
 def test_simulation_calibration_is_near_nominal(spark):
     x = np.random.default_rng(2).normal(size=(120, 5))
-    c = linalg.simulation_calibration(spark, x, 2.0, 1.0, trials=200).agg(F.avg("coverage")).first()[0]
+    c = linalg.simulation_calibration(spark, x.T @ x, 2.0, 1.0, trials=200).agg(F.avg("coverage")).first()[0]
     assert 0.86 < c < 0.94
 
 
@@ -104,28 +104,58 @@ def test_gate_outcomes():
     out = gates.passed({"a": True, "b": False}, {"a"})
     assert out == {"gates": {"a": True, "b": False}, "structural_pass": True, "pass": False, "failed": ["b"]}
     assert all(gates.posterior_gates(0.9, 0.9, 1.0, 1.0).values())
-    assert gates.comparison_gates(3, 3, (-0.2, -0.1), True)["improves"]
 
 
-def test_ridge_query_has_all_seasons_and_penalties(spark, monkeypatch):
-    from tallyframe.plans import standins, statistics
-
-    sf, tried = "/root/testdata/sf0.001", []
-    select = linalg.select_lambda
-
-    def recorded(by, score, mask, lambdas=linalg.LAMBDAS, **how):
-        tried.extend(lambdas)
-        return select(by, score, mask, lambdas, **how)
-
-    monkeypatch.setattr(linalg, "select_lambda", recorded)
-    got = statistics.mlr07(spark, sf).collect()
-    counts = linalg.floor_counts(standins.poss(spark, sf)).where("n >= 20").collect()
-    assert {(r["player_id"], r["season"]) for r in got} == {(r["player_id"], r["season"]) for r in counts}
-    assert len({r["season"] for r in got}) > 1
-    assert tried == list(linalg.LAMBDAS)
-
-
-def test_ridge_by_blocks_equals_the_whole_solution():
+def test_gate_sets_fail_where_they_should():
+    ok = {"p_min": 0.01, "p_max": 0.99, "late_error": 0.01, "intercept": 0.0, "slope": 1.0, "splits": {"train", "validation"}}
+    tiers, better = {"C": ok, "D": ok}, {"brier_high": -0.1, "log_loss_high": 0.1}
+    assert all(gates.ablation_gates(tiers, better, [-0.1, -0.2], 0).values())
+    bad = gates.ablation_gates({"C": ok, "D": ok | {"p_max": 1.0, "late_error": 0.2}}, {"brier_high": 0.1, "log_loss_high": 0.0}, [], 3)
+    assert not any(bad.values()) and set(bad) > gates.STRUCTURAL["ablation"]
+    good = gates.challenger_gates(ok, ok, better, {"train"}, 0, 0)
+    assert all(good.values()) and set(good) > gates.STRUCTURAL["challenger"]
+    assert not any(gates.challenger_gates(ok | {"p_min": 0.0, "slope": 2.0}, ok, {"brier_high": 0.0, "log_loss_high": 0.0}, {"train", "test"}, 1, 2).values())
+    assert all(gates.market_gates(ok, ok).values()) and not gates.market_gates(ok | {"intercept": 0.5}, ok)["model_calibrated"]
+    ladder = gates.ladder_gates({"P3": ok}, "P3", "form_beats_prior_strength", -0.1)
+    assert all(ladder.values()) and not gates.ladder_gates({"P3": ok | {"splits": {"train", "test"}}}, "P3", "x", 0.1)["test_untouched"]
+    assert all(gates.prediction_market_gates(ok, ok, 1.0, 86_400.0, 0).values())
+    assert not gates.prediction_market_gates(ok, ok, 0.0, 5.0, 1)["prices_before_tip"]
+
+
+def test_ridge_query_against_numpy(spark):
+    """All seasons, all penalties, inner folds and a held-out one, by dense matrices."""
+    from tallyframe.plans import studies
+
+    sf = "/root/testdata/sf0.001"
+    r = studies.Ridge(spark, sf)
+    cols = r.columns.toPandas()
+    at = {(s, k, p, side): c for s, k, p, side, c in zip(cols["season"].fillna(-1), cols["kind"], cols["player_id"].fillna(-1), cols["side"], cols["column_id"])}
+    rows = studies.design_rows(spark, sf).collect()
+    fold = {x["game_id"]: x["fold"] for x in r.margins.select("game_id", "fold").collect()}
+    x, games = np.zeros((len(rows), len(cols))), {}
+    for i, row in enumerate(rows):
+        for side, five in (("O", row["offense_five"]), ("D", row["defense_five"])):
+            for p in five:
+                x[i, at.get((row["season"], 0, p, side), at[row["season"], 1, -1, side])] += 1
+        x[i, at[-1, 2, -1, "H"]] = float(row["home"])
+        games.setdefault(row["game_id"], []).append(i)
+    y, part = np.array([row["points"] for row in rows], dtype=float), np.array([fold[row["game_id"]] for row in rows])
+    sign = np.array([1.0 if row["home"] else -1.0 for row in rows])
+    free = np.ones(len(cols))
+    free[at[-1, 2, -1, "H"]] = 0
+    lam, curve = r.select()
+    assert list(curve) == list(linalg.LAMBDAS) and lam == min(curve, key=curve.get)
+    for some in (linalg.LAMBDAS[0], linalg.LAMBDAS[9]):
+        errors = []
+        for f in range(4):
+            use = (part != f) & (part != 4)
+            beta = np.linalg.solve(x[use].T @ x[use] + some * np.diag(free), x[use].T @ y[use])
+            margin = [(sum(sign[i] * (y[i] - x[i] @ beta) for i in at_)) ** 2 for g, at_ in games.items() if fold[g] == f]
+            errors.append(np.sqrt(np.mean(margin)))
+        assert np.isclose(curve[float(some)], np.mean(errors))
+
+
+def test_ridge_by_blocks_equals_the_whole_solution(spark):
     rng = np.random.default_rng(5)
     block = np.array([0, 0, 0, 1, 1, 1, 1, -1])
     x = rng.normal(size=(60, 8))
@@ -133,7 +163,37 @@ def test_ridge_by_blocks_equals_the_whole_solution():
     x[30:, block == 0] = 0
     y, mask = rng.normal(size=60), block >= 0
     n = linalg.Normal(x.T @ x, x.T @ y)
-    assert np.allclose(linalg.solve_blocks(n, mask, 3.0, block), linalg.solve_ridge(n, mask, 3.0))
+    e = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(60) for j in range(8)], "row_id long, column_id int, value double")
+    ys = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "row_id long, y double")
+    blocks = linalg.Blocks.collect(linalg.gram(e), linalg.moment(e, ys), block, float(y @ y), 60)
+    beta = blocks.solve(3.0)
+    assert np.allclose(beta, linalg.solve_ridge(n, mask, 3.0))
+    assert np.isclose(blocks.rss(beta), ((y - x @ beta) ** 2).sum())
+    whole = np.linalg.inv(n.a + np.diag(np.where(mask, 3.0, 0.0)))
+    for a, inv in zip(blocks.at, blocks.inverses(3.0)):
+        assert np.allclose(inv, whole[np.ix_(a, a)])
+
+
+def test_newton_path_equals_single_fits(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 3))
+    y = (rng.random(500) < 1 / (1 + np.exp(-(x @ [1.0, -0.5, 0.0])))).astype(int)
+    df = frame(spark, x, y)
+    for m, lam in zip(logistic.fit_path(df, ["x0", "x1", "x2"], (1e-4, 0.1, 10.0)), (1e-4, 0.1, 10.0)):
+        want = logistic.fit(df, ["x0", "x1", "x2"], lam)
+        assert np.allclose([m.intercept, *m.beta], [want.intercept, *want.beta], atol=1e-4)
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    rows = [(f"g{k}", 10 + k % 7, float(k % 11), float(k % 5)) for k in range(300)]
+    df = spark.createDataFrame(rows, "game_id string, n long, brier double, log_loss double")
+    a, b = (metrics.bootstrap_sums(df.repartition(k), ["n", "brier"], n=400) for k in (1, 7))
+    assert np.allclose(a, b) and abs(a[:, 0].mean() - 300) < 5
+    means = a[:, 2] / a[:, 1]
+    rng = np.random.default_rng(1)
+    v = np.array([(r[1], r[2]) for r in rows], dtype=float)
+    want = [np.divide(*v[rng.integers(0, 300, 300)].sum(axis=0)[::-1]) for _ in range(400)]
+    assert abs(means.std() / np.std(want) - 1) < 0.25
 
 
 def test_orthogonality_query_fits_the_whole_table(spark):

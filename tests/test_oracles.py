@@ -8,11 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tallyframe.plans import registry
+from tallyframe.plans import connectors, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["FLAGSHIP_game_states", "JON07_AGG05_AGG06_AGG07_AGG08_val_summary", "GAT12_failures_by_gate", "WIN05_JON13_AGG18_form_to_date", "WIN06_PRE03_rest_days", "JON21_FLT10_FLT11_last_tick", "EVT01_WIN10_WIN11_action_log", "EVT06_possession_boundaries", "EVT08_AGG24_points_by_team", "AGG31_breakdown", "MLR06_gram", "PRJ05_clock_lenient", "PRJ18_free_throw", "PRJ22_name_folding", "PRJ41_candidate_slugs", "HSH03_table_digest"]
+CHECKED = ["FLAGSHIP_game_states", "JON07_AGG05_AGG06_AGG07_AGG08_val_summary", "GAT12_failures_by_gate", "WIN05_JON13_AGG18_form_to_date", "WIN06_PRE03_rest_days", "JON21_FLT10_FLT11_last_tick", "EVT01_WIN10_WIN11_action_log", "EVT06_possession_boundaries", "EVT08_AGG24_points_by_team", "AGG31_breakdown", "MLR06_gram", "PRJ05_clock_lenient", "PRJ18_free_throw", "PRJ22_name_folding", "PRJ41_candidate_slugs", "HSH03_table_digest", "EVT07_WIN12_and_one", "GAT08_WIN02_WIN03_monotone", "GAT09_AGG11_split_leakage", "GAT01_JON10_relationships", "AGG32_material", "JON22_subgroup_lift", "MLR04_MLR05_penalties", "BAY10_decayed_gram", *connectors.QUERIES]
 
 
 def normal(v):
