@@ -264,14 +264,14 @@ def test_sketch_bound_misses_one_pair_in_thousands():
     """Pairs right at the threshold, against the bound that the query uses."""
     import numpy as np
 
-    rng, need, seen = np.random.default_rng(6), ngram_join.Need(0.6, 32), 0
-    assert [int(need.least[k]) for k in (0, 1, 32)] == [0, 0, 9] or int(need.least[32]) in (8, 9)
+    rng, need, seen = np.random.default_rng(6), ngram_join.Need(0.6, 128), 0
+    assert need.least[0] == 0 and int(need.least[128]) in (55, 56, 57)
     for _ in range(3000):
-        n = int(rng.integers(40, 400))
+        n = int(rng.integers(40, 1500))
         pool = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
         over = int(np.ceil(1.2 * n / 1.6))
         a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:over], pool[n : 2 * n - over])))
-        seen += ngram_join._quick(n, n, *(ngram_join.bitmap(x[:32], ngram_join.SKETCH_BITS) for x in (a, b)), need)
+        seen += ngram_join._quick(n, n, *(ngram_join.bitmap(x[:128], ngram_join.SKETCH_BITS) for x in (a, b)), need)
     assert seen >= 2997
 
 
