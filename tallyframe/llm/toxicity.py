@@ -9,9 +9,9 @@ dictionary.
 
 A label is of a whole document, most of whose text is ordinary even if it is toxic. So training goes in
 ``rounds``: at first the toxic dictionary is trained on all text of toxic documents, then on those of
-their windows that it compresses better than the ordinary one does; the ordinary dictionary is trained
-on all ordinary text, and again with the ordinary windows that went wrong in the rounds before. Of
-all rounds the pair of dictionaries that serves the calibration documents best is kept. Both
+their windows that it compressed better than the ordinary one did in any round, without those that went
+wrong in ordinary text; the ordinary dictionary is trained on all ordinary text, and again with the
+ordinary windows that went wrong in the rounds before. Of all rounds the pair of dictionaries that serves the calibration documents best is kept. Both
 dictionaries are zstandard's (its COVER trainer) and no word is chosen by hand or by a count.
 
 Windows are single words between blanks, followed by a fixed carrier that ends both dictionaries:
@@ -147,7 +147,7 @@ def _calibrated(kind: np.ndarray, size: np.ndarray, doc: np.ndarray, gains: np.n
     return best[0], best[1], best[2], -best[3]
 
 
-def fit(rows: list[tuple], *, level: int = 12, toxic_bytes: int = 8192, ordinary_bytes: int = 112_640, rounds: int = 8) -> ToxicityModel:
+def fit(rows: list[tuple], *, level: int = 12, toxic_bytes: int = 8192, ordinary_bytes: int = 112_640, rounds: int = 6) -> ToxicityModel:
     """A model from (doc_id, text, toxic) rows: three in five train, the others calibrate."""
     nothing = ToxicityModel(b"", b"", level, 0, 1.0)
     rows = [(xxhash.xxh64_intdigest(str(i)) % 10, t, [sys.intern(w) for w in words(x)]) for i, x, t in sorted(rows, key=lambda r: (str(r[0]), r[1] or ""))]  # a word is held once
@@ -166,6 +166,8 @@ def fit(rows: list[tuple], *, level: int = 12, toxic_bytes: int = 8192, ordinary
     seen = [sorted({w for ws in texts[k] for w in ws}) for k in (0, 1)]
     plain = _passages(texts[0])
     wrong: list[bytes] = []
+    claimed: set[str] = set()
+    amiss: set[str] = set()
     toxic, best = _dictionary(_passages(texts[1]), toxic_bytes, 12), (-1.0, nothing)
     for _ in range(rounds):
         model = ToxicityModel(toxic, _dictionary(plain + wrong, ordinary_bytes, 16), level, 0, 1.0)
@@ -173,11 +175,13 @@ def fit(rows: list[tuple], *, level: int = 12, toxic_bytes: int = 8192, ordinary
         f, g, share, local = _calibrated(kind, size, doc, np.fromiter(map(gain, number), np.int16, len(number))[windows])
         if f > 0 and f >= best[0]:
             best = f, ToxicityModel(model.toxic, model.ordinary, level, g, share, local)
-        mine, amiss = {w for w in seen[1] if gain(w) >= 2}, {w for w in seen[0] if gain(w) >= 1}
-        if not mine:
+        claimed |= {w for w in seen[1] if gain(w) >= 2}
+        bad = {w for w in seen[0] if gain(w) >= 1}
+        amiss |= bad
+        if not claimed - amiss:
             break
-        toxic = _dictionary(_passages(texts[1], mine), toxic_bytes, 12)
-        wrong += 2 * _passages(texts[0], amiss)
+        toxic = _dictionary(_passages(texts[1], claimed - amiss), toxic_bytes, 12)
+        wrong += 2 * _passages(texts[0], bad)
     return best[1]
 
 
