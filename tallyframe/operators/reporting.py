@@ -31,9 +31,9 @@ def row_digest(df: DataFrame, columns: list[str]) -> Column:
 
 def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
     """HSH03: rows, and a digest of the whole table that no partitioning or row order changes: row
-    digests are reduced to one of each of 256 prefixes in parallel, those are joined in order."""
+    digests are reduced to one of each of 65,536 prefixes in parallel, those are joined in order."""
     d = df.select(row_digest(df, columns).alias("d"))
-    part = d.groupBy(F.substring("d", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("s"), F.count("*").alias("n"))
+    part = d.groupBy(F.substring("d", 1, 4).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("s"), F.count("*").alias("n"))
     return part.agg(F.sum("n").alias("row_count"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), ""), 256).alias("digest"))
 
 

@@ -613,7 +613,7 @@ def hsh03(spark, d):
     return o.select("o_orderkey", reporting.row_digest(o, ["o_orderkey", "o_orderstatus", "o_orderpriority"]).alias("digest"))
 
 
-@query("HSH03_table_digest", "WITH r AS (SELECT sha256('=' || o_orderkey || '|=' || o_orderstatus) AS d FROM orders), p AS (SELECT substr(d, 1, 2) AS p, sha256(string_agg(d, '' ORDER BY d)) AS s, count(*) AS n FROM r GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(s, '' ORDER BY p)) AS digest FROM p")
+@query("HSH03_table_digest", "WITH r AS (SELECT sha256('=' || o_orderkey || '|=' || o_orderstatus) AS d FROM orders), p AS (SELECT substr(d, 1, 4) AS p, sha256(string_agg(d, '' ORDER BY d)) AS s, count(*) AS n FROM r GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(s, '' ORDER BY p)) AS digest FROM p")
 def hsh03b(spark, d):
     return reporting.table_digest(S._t(spark, d, "orders"), ["o_orderkey", "o_orderstatus"])
 

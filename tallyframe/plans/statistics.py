@@ -13,6 +13,7 @@ from tallyframe.operators import boost, linalg, logistic, metrics, pregame
 from tallyframe.plans import standins as S
 from tallyframe.plans.relational import mart
 from tallyframe.plans.studies import design_rows
+from tallyframe.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,7 +155,9 @@ def mlr01(spark, d):
 
 @query("ARR05_MLR02_SRC12_design", _ENTRIES, "state")
 def mlr02(spark, d):
-    return linalg.design(design_rows(spark, d), _cols(spark, d))
+    # both are read several times: the columns three times, the rows for the players and for home
+    rows = sinks.written(design_rows(spark, d), "design-rows")
+    return linalg.design(rows, sinks.written(linalg.columns(linalg.floor_counts(rows), least=20), "design-columns"))
 
 
 @query("MLR06_gram", f"WITH x AS ({_ENTRIES}) SELECT a.column_id AS i, b.column_id AS j, sum(a.value * b.value) AS value FROM x a JOIN x b ON a.row_id = b.row_id AND a.column_id <= b.column_id GROUP BY 1, 2", "state")

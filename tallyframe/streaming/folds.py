@@ -11,25 +11,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def running_scores(log: DataFrame, *, delay: str = "10 minutes") -> DataFrame:
-    """Points by game and team so far; state of a game is dropped after its period of silence.
+    """Points by game and team so far; a state is dropped after an hour of silence.
 
-    ``log``: game_id, ts, team_id, points. Output (append): a row for each game of a micro-batch.
+    ``log``: game_id, ts, team_id, points. Output (append): a row for each game and team of a micro-batch.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        home, away, n = state.get if state.exists else (0, 0, 0)
+        points, n = state.get if state.exists else (0, 0)
         for b in batches:
-            home += int(b.loc[b["team_id"] == 1, "points"].sum())
-            away += int(b.loc[b["team_id"] == 2, "points"].sum())
+            points += int(b["points"].sum())
             n += len(b)
-        state.update((home, away, n))
+        state.update((points, n))
         state.setTimeoutDuration(3_600_000)
-        yield pd.DataFrame({"game_id": [key[0]], "home": [home], "away": [away], "events": [n]})
+        yield pd.DataFrame({"game_id": [key[0]], "team_id": [key[1]], "points": [points], "events": [n]})
 
-    return log.withWatermark("ts", delay).groupBy("game_id").applyInPandasWithState(update, "game_id string, home long, away long, events long", "home long, away long, events long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return log.withWatermark("ts", delay).groupBy("game_id", "team_id").applyInPandasWithState(update, "game_id string, team_id long, points long, events long", "points long, events long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, *, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

@@ -149,3 +149,19 @@ def test_stream_of_windowed_counts(spark, tmp_path):
     q = folds.windowed_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").format("memory").queryName("windowed").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["event_type"], r["n"]) for r in spark.table("windowed").collect()} == {("a", 4), ("b", 5)}
+
+
+def test_running_scores_go_on_over_batches(spark, tmp_path):
+    schema, seen = "game_id string, ts timestamp, team_id long, points long", {}
+    rows = [("g", dt.datetime(2024, 1, 1, 0, k), 7 + k % 2, k % 4) for k in range(12)]
+    for k in range(2):
+        spark.createDataFrame(rows[6 * k : 6 * k + 6], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def keep(batch, _):
+        for r in batch.collect():
+            seen[r["game_id"], r["team_id"]] = max(seen.get((r["game_id"], r["team_id"]), (0, 0)), (r["events"], r["points"]))
+
+    q = folds.running_scores(stream).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert seen == {("g", t): (6, sum(p for _, _, u, p in rows if u == t)) for t in (7, 8)}
