@@ -129,9 +129,9 @@ def fit(df: DataFrame, features: list[str], config: Config, *, y: str = "y", val
     mean = min(max(mean, 1e-6), 1 - 1e-6)
     model = Model(float(np.log(mean / (1 - mean))), config.rate)
     spark, bins = df.sparkSession, [f"bin_{f}" for f in features]
-    take = lambda d, held: d.select(F.col(y).cast("double").alias("y"), *features, F.lit(held).alias("held"))
+    take = lambda d, held: d.select(F.col(y).cast("double").alias("y"), *features, F.lit(held).alias("__tf_held"))
     rows = take(df, False) if validation is None else take(df, False).unionByName(take(validation, True))
-    rows = rows.select("*", *[bin_of(F.col(f), edges[f]).alias(f"bin_{f}") for f in features], F.lit(model.start).alias("margin"))
+    rows = rows.select("*", *[bin_of(F.col(f), edges[f]).alias(f"bin_{f}") for f in features], F.lit(model.start).alias("__tf_margin"))
     paths_written: list[str] = []
 
     def keep(d: DataFrame) -> DataFrame:
@@ -142,8 +142,8 @@ def fit(df: DataFrame, features: list[str], config: Config, *, y: str = "y", val
     rows = keep(rows)
     losses: list[float] = []
     for turn in range(config.rounds):
-        p = X.sigmoid(F.col("margin"))
-        base = rows.where("not held").select(*bins, p.alias("p"), "y").select(*bins, (F.col("p") - F.col("y")).alias("g"), (F.col("p") * (1 - F.col("p"))).alias("h"))
+        p = X.sigmoid(F.col("__tf_margin"))
+        base = rows.where("not __tf_held").select(*bins, p.alias("p"), "y").select(*bins, (F.col("p") - F.col("y")).alias("g"), (F.col("p") * (1 - F.col("p"))).alias("h"))
         root = Node()
         open_: dict[int, Node] = {0: root}
         paths: dict[int, Column] = {0: F.lit(True)}
@@ -169,11 +169,11 @@ def fit(df: DataFrame, features: list[str], config: Config, *, y: str = "y", val
             if not open_:
                 break
         model.trees.append(root)
-        rows = rows.withColumn("margin", F.col("margin") + root.column() * config.rate)
+        rows = rows.withColumn("__tf_margin", F.col("__tf_margin") + root.column() * config.rate)
         if (turn + 1) % WRITE_EVERY == 0 and turn + 1 < config.rounds:
             rows = keep(rows)
         if validation is not None:
-            losses.append(float(rows.where("held").agg(F.avg(X.log_loss(F.col("y"), X.sigmoid(F.col("margin"))))).first()[0]))
+            losses.append(float(rows.where("__tf_held").agg(F.avg(X.log_loss(F.col("y"), X.sigmoid(F.col("__tf_margin"))))).first()[0]))
             if patience and len(losses) - 1 - int(np.argmin(losses)) >= patience:
                 break
     for at in paths_written:
