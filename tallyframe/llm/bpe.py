@@ -27,12 +27,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The pre-token pattern of the 50k vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -150,30 +150,37 @@ class Vocabulary:
         self.shared = spark.sparkContext.broadcast((sentencepiece_model(ranks), tokens, pattern))
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with the column ``out``: the ids of each text."""
+def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, out: str, kind: str, arrow: pa.DataType, each) -> DataFrame:
+    """``df`` with a column ``out`` made of ``source`` by ``each(coder, value)``; a worker holds the values of
+    ``ROWS`` rows as objects at a time, and hands these on before the next."""
     shared = vocabulary.shared
+    rest = df.drop(out)
+    kept = [F.col(f"`{c}`") for c in rest.columns]
+    src = df.select(F.col(f"`{source}`").alias("__tf_source"), *kept)
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(*shared.value)
-        for b in batches:
-            yield pd.Series([None if t is None else coder.encode(t) for t in b], dtype=object)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                made = pa.array([None if x is None else each(coder, x) for x in b.column(0).to_pylist()], arrow)
+                yield pa.record_batch([made, *b.columns[1:]], names)
 
-    return df.withColumn(out, run(F.col(f"`{text_col}`").cast("string")))
+    names = ["__tf_made", *rest.columns]
+    schema = T.StructType([T.StructField("__tf_made", T.DataType.fromDDL(kind)), *rest.schema.fields])
+    done = src.mapInArrow(run, schema)
+    order = [c for c in df.columns if c != out] + [out] if out not in df.columns else df.columns
+    return done.select(*[F.col("__tf_made").alias(out) if c == out else F.col(f"`{c}`") for c in order])
 
 
-def decode(df: DataFrame, vocabulary: Vocabulary, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the column ``out``: the text of each row's ids."""
-    shared = vocabulary.shared
+def encode(df: DataFrame, vocabulary: Vocabulary, *, text_col: str = "text", out: str = "ids") -> DataFrame:
+    """``df`` with the column ``out``: the ids of each text."""
+    return _mapped(df.withColumn(text_col, F.col(f"`{text_col}`").cast("string")), vocabulary, text_col, out, "array<int>", pa.list_(pa.int32()), lambda coder, t: coder.encode(t))
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _coder(*shared.value)
-        for b in batches:
-            yield pd.Series([None if i is None else coder.decode(i.tolist()) for i in b], dtype=object)
 
-    return df.withColumn(out, run(F.col(f"`{ids_col}`")))
+def decode(df: DataFrame, vocabulary: Vocabulary, *, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` with the column ``out``: the text of each row's ids."""
+    return _mapped(df, vocabulary, ids_col, out, "string", pa.string(), lambda coder, ids: coder.decode(ids))
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
