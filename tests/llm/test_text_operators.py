@@ -275,6 +275,28 @@ def test_sketch_bound_misses_one_pair_in_thousands():
     assert seen >= 2997
 
 
+def test_ngram_join_keeps_every_link(spark):
+    """Each document's links against brute force, with pairs that have none of the smallest hashes in common."""
+    rng, h = random.Random(21), ngram_join.GramHasher(3)
+    rows = near_rows(rng)[:140]
+    rows += [(2000 + k, rows[k % 4][1]) for k in range(9)]
+    for k in range(6):
+        ws = words(rng, 320, 10**6).split()
+        other = list(ws)
+        # the words in the middle of the 20 grams of the smallest hashes are replaced
+        for i in sorted(range(318), key=lambda i: int(h(" ".join(ws[i : i + 3]))[0]))[:20]:
+            other[i + 1] = f"r{k}x{i}"
+        rows += [(3000 + 2 * k, " ".join(ws)), (3001 + 2 * k, " ".join(other))]
+    want = brute_pairs(rows)
+    assert all((3000 + 2 * k, 3001 + 2 * k) in want for k in range(6))
+    links = {}
+    for a, b in want:
+        links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+    got = {r["doc_id"]: r for r in ngram_join.ngram_jaccard_join(docs(spark, rows)).collect()}
+    assert {i: r["links"] for i, r in got.items()} == links
+    assert all(got[a]["group_id"] == got[b]["group_id"] for a, b in want)
+
+
 def test_ngram_join_of_ids_with_two_texts(spark):
     rng = random.Random(15)
     a, b = words(rng, 60, 5000), words(rng, 60, 5000)
