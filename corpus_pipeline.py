@@ -14,19 +14,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import bpe, line_dedup, ngram_join, packing, toxicity
-from tallyframe.llm.common import new_path, table
+from tallyframe.llm.common import new_path, small_batches, table, written
 from tallyframe.llm.queries import vocabulary_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier, fitted on the labelled rows, doesn't reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.without_toxic(docs, model)
+    with small_batches(spark):
+        return written(toxicity.without_toxic(docs, model), "not-toxic")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each line only where it occurs first; documents of repeats alone go."""
-    return line_dedup.line_dedup(docs)
+    with small_batches(spark):
+        return written(line_dedup.line_dedup(docs), "lines")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

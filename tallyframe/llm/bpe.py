@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.llm.common import give_back
+
 #: The pre-token pattern of the 50k vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SEPARATOR = "\ue000"
@@ -159,12 +161,14 @@ def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, out: str, kind:
     src = df.select(F.col(f"`{source}`").alias("__tf_source"), *kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         coder = _coder(*shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 b = batch.slice(at, ROWS)
                 made = pa.array([None if x is None else each(coder, x) for x in b.column(0).to_pylist()], arrow)
                 yield pa.record_batch([made, *b.columns[1:]], names)
+        give_back()
 
     names = ["__tf_made", *rest.columns]
     schema = T.StructType([T.StructField("__tf_made", T.DataType.fromDDL(kind)), *rest.schema.fields])

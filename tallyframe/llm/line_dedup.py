@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import new_path, remove_paths
+from tallyframe.llm.common import give_back, new_path, remove_paths
 
 _BLANK = re.compile("[ \t\n\x0b\f\r]+")
 
@@ -139,6 +139,7 @@ def keep_lines(docs: DataFrame, positions: DataFrame, *, id_col: str = "doc_id",
 
     @F.pandas_udf("struct<text string, gone boolean>")
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        give_back()
         for texts, lines in batches:
             out = []
             for text, at in zip(texts, lines):
@@ -153,6 +154,8 @@ def keep_lines(docs: DataFrame, positions: DataFrame, *, id_col: str = "doc_id",
                         gone = True
                 out.append((text if not gone else "\n".join(mine), gone and not keep))
             yield pd.DataFrame(out, columns=["text", "gone"])
+        texts = lines = out = None
+        give_back()
 
     done = joined.select("row", cut(F.col("row").getField(text_col).cast("string"), F.col("lines")).alias("cut")).where(~F.col("cut.gone"))
     take = []

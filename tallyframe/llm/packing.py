@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyframe.llm.common import written
+from tallyframe.llm.common import small_batches, written
 
 #: Parts that a size is split in for ranking, so that one frequent size isn't one task: so many at least,
 #: and one for each so many pieces.
@@ -259,7 +259,8 @@ def pack_sequences(docs: DataFrame, *, capacity: int = 2048, id_col: str = "doc_
     ids = F.col(f"`{ids_col}`")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), ids.alias("ids")).where(F.size("ids") > 0)
     cut = rows.select("row", "doc_id", "ids", F.explode(_cut(F.size("ids"), capacity)).alias("piece"))
-    cut = written(cut.select("row", "doc_id", "piece", F.slice("ids", (F.col("piece") * capacity).cast("int") + 1, capacity).alias("tokens")), "token-pieces")
+    with small_batches(docs.sparkSession, 256):  # the ids may be made by Python as they are written
+        cut = written(cut.select("row", "doc_id", "piece", F.slice("ids", (F.col("piece") * capacity).cast("int") + 1, capacity).alias("tokens")), "token-pieces")
     whole = cut.groupBy("row").agg(F.sum(F.size("tokens")).alias("n"))
     places = pack(whole, capacity=capacity, size=F.col("n"), id_col="row").withColumnRenamed("doc_id", "row")
     piece = F.struct("bin_offset", "doc_id", "start", "length", "tokens")

@@ -44,10 +44,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.llm.common import give_back
+
 WORD = re.compile(r"[^\W\d_]+")
 CARRIER = b"#0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ#"
 #: Distinct words a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Successive windows among which a passage's toxic ones are counted.
 RUN = 100
 #: Words of a training passage.
@@ -201,6 +203,7 @@ def toxicity_score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
     kind = T.StructType([T.StructField("windows", T.LongType()), T.StructField("toxic_windows", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        give_back()
         gain = WindowGain(*model.compressors()) if model.gain else None
         for texts in batches:
             found = []
@@ -210,6 +213,8 @@ def toxicity_score(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
                 share = len(at) / len(ws) if ws else 0.0
                 found.append((len(ws), len(at), share, len(at) > 0 and (share > model.share or densest(at) > model.local)))
             yield pd.DataFrame(found, columns=kind.names)
+        gain = texts = found = None
+        give_back()
 
     udf = F.pandas_udf(score, kind)
     return docs.withColumn(out, udf(F.col(text_col).cast("string")))

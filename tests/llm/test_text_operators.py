@@ -316,6 +316,23 @@ def test_ngram_join_edges(spark):
     assert ngram_join.ngram_jaccard_join(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """No batch of texts or blobs of the join holds the usual 10,000 rows, and the setting is put back."""
+    from tallyframe.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+
+    def written(df, what):
+        seen.append((what, int(spark.conf.get(name))))
+        return common.written(df, what)
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    ngram_join.ngram_jaccard_join(docs(spark, [(k, f"words of text number {k // 2}") for k in range(8)])).count()
+    assert {what for what, rows in seen if rows <= 512} == {"tokens", "candidates", "matches"}
+    assert spark.conf.get(name) == before
+
+
 # --- packing -------------------------------------------------------------------------------------
 
 
