@@ -54,6 +54,25 @@ def test_embedding_recall(spark):
         assert n[i] @ n[r["partner_id"]] >= 0.95 - 1e-5 and abs(n[i] @ n[r["partner_id"]] - r["cosine"]) < 1e-4
 
 
+def test_embedding_links_are_all_found(spark, monkeypatch):
+    """Groups, links and nearest partners against brute force, over several blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)
+    rng = np.random.default_rng(31)
+    base = rng.standard_normal((500, 24))
+    x = np.concatenate((base, base[:80] + 0.32 * rng.standard_normal((80, 24)), base[5] + 0.2 * rng.standard_normal((200, 24)), np.repeat(base[7:9], 6, axis=0)))
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = n @ n.T
+    np.fill_diagonal(cos, -1)
+    near = cos >= 0.95
+    f = Forest()
+    for a, b in zip(*np.nonzero(near)):
+        f.union(int(a), int(b))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_near_dedup(df).collect()}
+    assert {i: (r["group_id"], r["links"]) for i, r in got.items()} == {i: (f.find(i), int(k)) for i, k in enumerate(near.sum(axis=1)) if k}
+    assert all(abs(r["cosine"] - cos[i].max()) < 1e-5 and abs(cos[i, r["partner_id"]] - cos[i].max()) < 1e-5 for i, r in got.items())
+
+
 def test_embedding_edges(spark):
     nan = float("nan")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [1.0, 1.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (8, [1.0, 1.0, 0.0]), (None, [1.0, 1.0]), (9, [float("inf"), 1.0])]
