@@ -14,21 +14,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyframe.llm import bpe, line_dedup, ngram_join, packing, toxicity
-from tallyframe.llm.common import new_path, small_batches, table, written
+from tallyframe.llm.common import new_path, small_batches, table
 from tallyframe.llm.queries import vocabulary_path
 
 
+def texts_in_small_batches(spark: SparkSession) -> None:
+    """A stage's result is made when it is written, after the stage's function, so this setting stays
+    with the session; ``run`` puts it back."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier, fitted on the labelled rows, doesn't reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    with small_batches(spark):
-        return written(toxicity.without_toxic(docs, model), "not-toxic")
+    texts_in_small_batches(spark)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each line only where it occurs first; documents of repeats alone go."""
-    with small_batches(spark):
-        return written(line_dedup.line_dedup(docs), "lines")
+    texts_in_small_batches(spark)
+    return line_dedup.line_dedup(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +63,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents table; each result is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        path = new_path(spark, f"pipeline-{k}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    with small_batches(spark):
+        for k, (_, stage) in enumerate(STAGES):
+            path = new_path(spark, f"pipeline-{k}")
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
     return docs
