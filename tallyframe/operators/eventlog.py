@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyframe.functions import exprs as X
+from tallyframe.sources import sinks
 
 
 def _before(*order: str):
@@ -297,11 +298,13 @@ def fold_games(log: DataFrame) -> DataFrame:
 def corpus_gate(residuals: DataFrame, lineups: DataFrame, *, tolerance: float = 60.0, share: float = 0.99) -> DataFrame:
     """EVT11, AGG37: one row: lineups all of five, share of residuals within tolerance, median,
     nearest-rank 95th percentile, largest, and whether the gate passes."""
-    r = residuals.select(F.abs("delta").alias("d"))
-    count = r.count()
-    rank = round(0.95 * (count - 1)) / (count - 1) if count > 1 else 0.0  # falls on a row: no interpolation
-    within = F.avg(F.when(F.col("d") <= tolerance, 1.0).otherwise(0.0))
-    n = r.agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("median"), F.percentile("d", F.lit(rank)).alias("p95"), F.max("d").alias("largest"), within.alias("within"))
+    # a row for each distinct residual first: residuals are computed once, and ranked by their numbers
+    r = residuals.select(F.abs("delta").alias("d")).groupBy("d").agg(F.count("*").alias("k"))
+    r = sinks.written(r, "residuals")
+    total = r.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n")).first()[0]
+    rank = round(0.95 * (total - 1)) / (total - 1) if total > 1 else 0.0  # falls on a row: no interpolation
+    within = F.sum(F.when(F.col("d") <= tolerance, F.col("k")).otherwise(0)) / F.sum("k")
+    n = r.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.percentile("d", F.lit(0.5), F.col("k")).alias("median"), F.percentile("d", F.lit(rank), F.col("k")).alias("p95"), F.max("d").alias("largest"), within.alias("within"))
     five = lineups.agg(F.min((F.size("five") == 5).cast("int")).alias("five"))
     return n.crossJoin(five).select("n", "median", "p95", "largest", "within", (F.col("five") == 1).alias("all_five"), ((F.col("five") == 1) & (F.col("within") >= share)).alias("passes"))
 
