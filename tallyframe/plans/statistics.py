@@ -155,9 +155,9 @@ def mlr01(spark, d):
 
 @query("ARR05_MLR02_SRC12_design", _ENTRIES, "state")
 def mlr02(spark, d):
-    # both are read several times: the columns three times, the rows for the players and for home
+    # both are read several times: the columns three times, the rows for the layout and the entries
     rows = sinks.written(design_rows(spark, d), "design-rows")
-    return linalg.design(rows, sinks.written(linalg.columns(linalg.floor_counts(rows), least=20), "design-columns"))
+    return linalg.design(rows, sinks.written(linalg.columns(linalg.floor_counts(rows), least=20), "design-columns"), parts=S.parts(spark, d, "lineitem"))
 
 
 @query("MLR06_gram", f"WITH x AS ({_ENTRIES}) SELECT a.column_id AS i, b.column_id AS j, sum(a.value * b.value) AS value FROM x a JOIN x b ON a.row_id = b.row_id AND a.column_id <= b.column_id GROUP BY 1, 2", "state")
